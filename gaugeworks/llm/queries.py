@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .media import op1_media_columns
 from .secrets import op10_secret_scan
+from .simhash import op3_simhash_neardup
+from .url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
+    "op1_media_columns": op1_media_columns,
+    "op3_simhash_neardup": op3_simhash_neardup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_url_filter": op9_url_filter,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL = {"op6_exact_dedup": OP6_SQL}
+ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op9_url_filter": OP9_SQL}
