@@ -266,6 +266,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(named, prints["fp"] == named["_fp"], "left").select("doc_id", "fp", "component_id")
 
 
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
+    """docs without the rows that aren't their component's representative (the smallest id); all columns stay."""
+    lost = simhash_groups(docs, id_col, text_col, words, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
+    return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
+
+
 def op3_simhash_neardup(spark, sf_dir):
     found = simhash_groups(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
