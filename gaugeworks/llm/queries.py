@@ -7,6 +7,7 @@ from .language import op4_language_id
 from .media import op1_media_columns
 from .mixing import op5_source_mixing
 from .packing import op8_bestfit_packing
+from .passages import op7_substring_dedup
 from .quality import op2_quality_classifier
 from .secrets import op10_secret_scan
 from .simhash import op3_simhash_neardup
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_source_mixing": op5_source_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_bestfit_packing": op8_bestfit_packing,
     "op9_url_filter": op9_url_filter,
     "op10_secret_scan": op10_secret_scan,
