@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import analysis_queries, decision_queries, model_queries, quality_queries, signal_queries  # noqa: F401
+from .plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
