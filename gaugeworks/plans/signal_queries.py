@@ -11,13 +11,13 @@ from . import telemetry as tel
 from .registry import query
 
 R = lambda c, n=6: F.round(c, n)
-N = F.count(F.lit(1))
+count_all = lambda: F.count(F.lit(1))
 K = ["station_id", "timestamp"]
 
 
 @query("win1_segments", fr.KEPT + "SELECT station_id, segment_id, count(*) AS n, min(timestamp) AS t0, max(timestamp) AS t1 FROM seg GROUP BY station_id, segment_id")
 def win1(spark, d):
-    return fr.kept(spark, d).groupBy("station_id", "segment_id").agg(N.alias("n"), F.min("timestamp").alias("t0"), F.max("timestamp").alias("t1"))
+    return fr.kept(spark, d).groupBy("station_id", "segment_id").agg(count_all().alias("n"), F.min("timestamp").alias("t0"), F.max("timestamp").alias("t1"))
 
 
 @query("win2_deltas", fr.FEAT + 'SELECT station_id, timestamp, round("delta_T", 6) AS d_t, round("delta_P", 6) AS d_p, round("delta_RH", 6) AS d_rh FROM feat')
@@ -87,7 +87,7 @@ def win9(spark, d):
 def win11(spark, d):
     order = features.per_station()
     rows = fr.telemetry(spark, d).withColumn("p", F.floor(F.col("pressure_hpa") / 20))
-    return rows.withColumns({"a": F.lag("p").over(order), "b": F.lag("p", 2).over(order)}).where("p = a and p = b").groupBy("station_id").agg(N.alias("n"))
+    return rows.withColumns({"a": F.lag("p").over(order), "b": F.lag("p", 2).over(order)}).where("p = a and p = b").groupBy("station_id").agg(count_all().alias("n"))
 
 
 @query("win14_cold_start", fr.TEL + "SELECT station_id, timestamp FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY timestamp) AS i FROM tel) WHERE i <= 24")
@@ -165,7 +165,7 @@ def events(spark):
   round(min(pressure_hpa), 4) AS p_min, round(max(pressure_hpa), 4) AS p_max FROM qc JOIN evt ON station_id = es AND timestamp BETWEEN t_start AND t_end GROUP BY event_id""")
 def jn13(spark, d):
     rows = spatial.event_rows(qc.rule_qc(fr.telemetry(spark, d)), events(spark))
-    return rows.groupBy("event_id").agg(N.alias("n"), F.count_if("is_flagged").alias("flagged"), R(stats.ratio(F.count_if("is_flagged"), N)).alias("rate"), R(F.min("pressure_hpa"), 4).alias("p_min"), R(F.max("pressure_hpa"), 4).alias("p_max"))
+    return rows.groupBy("event_id").agg(count_all().alias("n"), F.count_if("is_flagged").alias("flagged"), R(stats.ratio(F.count_if("is_flagged"), count_all())).alias("rate"), R(F.min("pressure_hpa"), 4).alias("p_min"), R(F.max("pressure_hpa"), 4).alias("p_max"))
 
 
 @query("jn14_semi_anti", fr.QC + """, f AS (SELECT station_id, timestamp FROM qc WHERE is_flagged), r AS (SELECT station_id, timestamp FROM tel WHERE anomaly_type IN ('communication_dropout', 'data_corruption'))
@@ -173,7 +173,7 @@ def jn13(spark, d):
 def jn14(spark, d):
     t = qc.rule_qc(fr.telemetry(spark, d))
     f, r = t.where("is_flagged").select(*K), t.where(qc.excluded_type()).select(*K)
-    one = lambda df, name: df.agg(N.alias(name))
+    one = lambda df, name: df.agg(count_all().alias(name))
     return one(f.join(r, K, "left_semi"), "n_both").crossJoin(one(f.join(r, K, "left_anti"), "left_only")).crossJoin(one(r.join(f, K, "left_anti"), "right_only"))
 
 
@@ -202,7 +202,7 @@ def jn18(spark, d):
 def jn19(spark, d):
     t = fr.telemetry(spark, d)
     near = spatial.peers(t, t.where("temperature_c is not null"), fr.graph(spark, 3), ["temperature_c"])
-    return near.groupBy(*K).agg(N.alias("n_peers"))
+    return near.groupBy(*K).agg(count_all().alias("n_peers"))
 
 
 @query("jn20_corrections", fr.QC + fr.GRAPH + """SELECT q.station_id, q.timestamp, round(quantile_cont(t.temperature_c, 0.5), 2) AS t, round(quantile_cont(t.pressure_hpa, 0.5), 2) AS p, round(quantile_cont(t.humidity_pct, 0.5), 2) AS rh
@@ -217,7 +217,7 @@ def jn20(spark, d):
 @query("set1_union_all", fr.TEL + "SELECT station_id, count(*) AS n FROM (SELECT station_id FROM tel UNION ALL SELECT station_id FROM tel WHERE is_anomaly) GROUP BY station_id")
 def set1(spark, d):
     t = fr.telemetry(spark, d)
-    return t.select("station_id").unionByName(t.where("is_anomaly").select("station_id")).groupBy("station_id").agg(N.alias("n"))
+    return t.select("station_id").unionByName(t.where("is_anomaly").select("station_id")).groupBy("station_id").agg(count_all().alias("n"))
 
 
 @query("set2_key_diff", fr.QC + """, f AS (SELECT station_id, timestamp FROM qc WHERE is_flagged), r AS (SELECT station_id, timestamp FROM tel WHERE is_anomaly)
@@ -225,7 +225,7 @@ def set1(spark, d):
 def set2(spark, d):
     t = qc.rule_qc(fr.telemetry(spark, d))
     f, r = t.where("is_flagged").select(*K), t.where("is_anomaly").select(*K)
-    return f.intersect(r).agg(F.lit("both").alias("side"), N.alias("n")).unionByName(f.subtract(r).agg(F.lit("flag_only").alias("side"), N.alias("n")))
+    return f.intersect(r).agg(F.lit("both").alias("side"), count_all().alias("n")).unionByName(f.subtract(r).agg(F.lit("flag_only").alias("side"), count_all().alias("n")))
 
 
 @query("set3_dedup_keys", fr.TEL + "SELECT station_id, timestamp, max(pressure_hpa) AS p FROM (SELECT * FROM tel UNION ALL SELECT * FROM tel) GROUP BY station_id, timestamp")
