@@ -1 +1,106 @@
+"""Learned operators and streaming replays; they have no SQL oracle and are tested against independent code."""
 
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..operators import ml, qc, synth
+from ..streaming import pipeline as streaming
+from . import fragments as fr
+from .registry import query
+
+K = ["station_id", "timestamp"]
+CHANNELS = ["temperature_c", "pressure_hpa", "humidity_pct"]
+CLASSIFIER = ["if_score", "gru_score", "mahalanobis_dist", "t1", "buddy", "isolated"]
+CLASS_WEIGHTS = {"normal": 1.0, "calibration_drift": 3.0, "frozen_sensor": 5.0, "spike_or_drop": 15.0}
+
+
+def _normal(spark, d):
+    return fr.kept(spark, d).where(~F.col("is_anomaly"))
+
+
+@query("ml1_isolation_forest")
+def ml1(spark, d):
+    x = ml.bounded_sample(_normal(spark, d), CHANNELS, K, 2000).to_numpy(float)
+    forest = ml.IsolationForest(x, trees=50)
+    return ml.add_scores(fr.kept(spark, d), CHANNELS, forest.score, "if_score").select(*K, F.round("if_score", 6).alias("if_score"))
+
+
+def _autoencoder(spark, d, size=24):
+    x = ml.bounded_sample(_normal(spark, d), CHANNELS, K, 2000).to_numpy(float)
+    mean, std = (x.mean(0), x.std(0)) if len(x) else (np.zeros(3), np.ones(3))
+    scaled = fr.kept(spark, d).withColumns({f"z{i}": (F.col(c) - float(mean[i])) / float(std[i] or 1) for i, c in enumerate(CHANNELS)})
+    cols = [f"z{i}" for i in range(3)]
+    rows = ml.bounded_sample(scaled.where("not is_anomaly"), [*K, *cols], ["station_id", "segment_id"], 2000).sort_values(K)
+    z = rows[cols].to_numpy(float)
+    windows = np.stack([z[i : i + size] for i in range(0, max(1, len(z) - size), 2)]) if len(z) >= size else np.zeros((1, size, 3))
+    return scaled, ml.RecurrentAutoencoder(3).fit(windows), cols
+
+
+@query("ml2_recurrent_scores")
+def ml2(spark, d):
+    scaled, model, cols = _autoencoder(spark, d)
+    return ml.window_scores(scaled.select(*K, "segment_id", *cols), model, cols, 24, "gru_score").select(*K, F.round("gru_score", 6).alias("gru_score"))
+
+
+def _classified(spark, d):
+    typed = fr.tier4(spark, d).where("tier_coverage = 'full'").withColumns({
+        "t1": F.col("tier1_flagged").cast("double"), "buddy": F.col("buddy_flagged").cast("double"), "isolated": F.col("isolated_deviation").cast("double"),
+        "truth": F.coalesce("anomaly_type", F.lit("normal")),
+    }).fillna(0.0, subset=CLASSIFIER)
+    rows = ml.bounded_sample(typed, [*CLASSIFIER, "truth"], K, 3000)
+    return typed, ml.MetaClassifier(rows[CLASSIFIER].to_numpy(float), rows["truth"].tolist(), CLASS_WEIGHTS), rows[CLASSIFIER].to_numpy(float).mean(0)
+
+
+@query("ml4_meta_classifier")
+def ml4(spark, d):
+    typed, model, _ = _classified(spark, d)
+
+    def run(batches):
+        for b in batches:
+            p = model.probabilities(b[CLASSIFIER].to_numpy(float))
+            yield b[K].assign(predicted=[model.classes[i] for i in p.argmax(1)], confidence=p.max(1).round(6))
+
+    return typed.select(*K, *CLASSIFIER).mapInPandas(run, "station_id string, timestamp timestamp_ntz, predicted string, confidence double")
+
+
+@query("ml7_shapley_rationale")
+def ml7(spark, d):
+    typed, model, base = _classified(spark, d)
+
+    def run(batches):
+        for b in batches:
+            x = b[CLASSIFIER].to_numpy(float)
+            best = model.margin(x).argmax(1)
+            phi = np.zeros(x.shape)
+            for k in np.unique(best):
+                own = best == k
+                phi[own] = ml.shapley(lambda z, k=k: model.margin(z)[:, k], x[own], base)
+            top = phi.argmax(1)
+            yield b[K].assign(predicted=[model.classes[i] for i in best], top_feature=[CLASSIFIER[i] for i in top], top_value=phi[np.arange(len(x)), top].round(6))
+
+    found = typed.select(*K, *CLASSIFIER).mapInPandas(run, "station_id string, timestamp timestamp_ntz, predicted string, top_feature string, top_value double")
+    return ml.rationale(found)
+
+
+@query("str1_stream_replay")
+def str1(spark, d):
+    return streaming.replay(fr.telemetry(spark, d).select(*K, *CHANNELS)).select(*K, "flag_reason", "coverage", F.round("sensor_health_index", 6).alias("shi"))
+
+
+@query("gen1_base_signal")
+def gen1(spark, d):
+    return synth.base_signals(spark, days=3, seed=42).select(*K, *[F.round(c, 4).alias(c) for c in CHANNELS])
+
+
+@query("gen5_faults")
+def gen5(spark, d):
+    faults = synth.plan_faults(synth.station_ids(), steps=3 * 144, seed=42)
+    return synth.inject(synth.base_signals(spark, days=3, seed=42), spark.createDataFrame(pd.DataFrame(faults))).select(*K, *[F.round(c, 4).alias(c) for c in CHANNELS], "anomaly_type")
+
+
+@query("prj10_clean_share")
+def prj10(spark, d):
+    return fr.telemetry(spark, d).groupBy("climate_zone").agg(F.avg(qc.exclusion().cast("int")).alias("excluded_share"))
