@@ -2,9 +2,9 @@
 
 Texts are equal when identical after lower-casing A-Z only; null counts as the empty text. The two first
 levels shuffle two numbers a row. Only rows whose (length, prefix) occurs more than once carry their text
-to the third level, where the SHA-256 of the whole text decides. The hot keys of the semi joins and of the
-last join are on the row side of sort-merge joins, which adaptive execution splits; all group sizes come
-from aggregates with map-side partial sums.
+to the third level, where the SHA-256 of the whole text decides. The keys of each level that occur again are written to
+the shared folder, so that both sides of the joins with them are plain exchanges, whose hot partitions adaptive
+execution splits; all group sizes come from aggregates with map-side partial sums.
 
 Defined cases: null text = empty text; null ids never win over an id, and a group of null ids only keeps a
 null id's row as (keep_id null, kept true); rows repeated with the same id are counted in group_size and all
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, whole
+from .common import Scratch, ascii_lower, documents, whole
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
@@ -27,8 +27,12 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.xxhash64(ascii_lower(F.substring(text, 1, prefix_chars))).alias("_prefix"),
     )
     again = lambda df, keys: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
-    by_length = again(rows, ["_len"])
-    by_prefix = again(rows.join(by_length, "_len", "left_semi"), ["_len", "_prefix"])
+    scratch = Scratch(docs.sparkSession)
+    by_length = scratch.keep(again(rows, ["_len"]), "lengths")
+    # Grouped by an expression of the join key: the counts then cross an exchange of their own, after partial sums.
+    refined = rows.join(by_length, "_len", "left_semi").select(F.concat_ws(":", "_len", "_prefix").alias("_key"))
+    keys = F.split("_key", ":")
+    by_prefix = scratch.keep(again(refined, ["_key"]).select(keys[0].cast("int").alias("_len"), keys[1].cast("long").alias("_prefix")), "prefixes")
     survivors = rows.join(by_prefix, ["_len", "_prefix"], "left_semi")
     return (
         survivors.groupBy("_len", F.sha2(ascii_lower(F.col("_text")), 256).alias("_sha"))
