@@ -191,7 +191,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     if total > 4 * sample:
         hashed = hashed.where(F.col("_h") < int(-(2**63) + 2**64 * (2 * sample / total)))
     taken = hashed.select("_h", "_text").mapInPandas(describe, "_h long, v string, x binary").orderBy("_h", "v").limit(sample).toPandas()
-    taken = taken[[v != NO_WORDS for v in taken["v"]]]
+    taken = taken[taken["v"] != NO_WORDS]
     x = np.stack([np.frombuffer(b, np.float16) for b in taken["x"]]).astype(np.float32) if len(taken) else np.zeros((0, SLOTS), np.float32)
     return posterior, Scorer(*fit_scorer(x, taken["v"].map(posterior).to_numpy(float)))
 

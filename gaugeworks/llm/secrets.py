@@ -31,8 +31,13 @@ SPAN = "struct<start:int,rank:int,kind:string,stop:int,size:int>"
 KINDS = ("assign", "access", "hex", "secret", "endpoint", "identifier")
 
 
-def spans_of(text, kind: str, pattern: str, size_group: int = 0):
-    """array<SPAN> of the leftmost non-overlapping matches; size: code points of the group asked for."""
+def mixed_size(match):
+    """Code points of a match that holds letters and digits, else 0."""
+    return F.when(match.rlike("[0-9]") & match.rlike("[A-Za-z]"), F.char_length(match)).otherwise(0)
+
+
+def spans_of(text, kind: str, pattern: str, size_group: int = 0, size=F.char_length):
+    """array<SPAN> of the leftmost non-overlapping matches; size: by default the code points of the group asked for."""
     none = F.array().cast(f"array<{SPAN}>")
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s)\G.*?(?:{pattern})"), F.lit(0))
 
@@ -40,7 +45,7 @@ def spans_of(text, kind: str, pattern: str, size_group: int = 0):
         stop = acc["pos"] + F.char_length(piece)
         span = F.struct(
             (stop - F.char_length(F.regexp_extract(piece, pattern, 0))).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"),
-            stop.alias("stop"), F.char_length(F.regexp_extract(piece, pattern, size_group)).alias("size"),
+            stop.alias("stop"), size(F.regexp_extract(piece, pattern, size_group)).alias("size"),
         ).cast(SPAN)
         return F.struct(stop.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
@@ -68,13 +73,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.filter(spans_of(t, "assign", ASSIGN, 1), lambda x: x["size"] >= 12).alias("_assign"),
         spans_of(t, "access", ACCESS).alias("_access"), spans_of(t, "hex", HEX).alias("_hex"),
         # Weak parts matter only in documents that hold a strong one.
-        F.when(t.rlike(rf"{ACCESS}|{HEX}|{ASSIGN}"), F.struct(spans_of(t, "secret", RUN).alias("run"), spans_of(t, "endpoint", ENDPOINT).alias("end"), spans_of(t, "identifier", IDENTIFIER).alias("who"))).alias("_weak"),
+        F.when(t.rlike(rf"{ACCESS}|{HEX}|{ASSIGN}"), F.struct(spans_of(t, "secret", RUN, size=mixed_size).alias("run"), spans_of(t, "endpoint", ENDPOINT).alias("end"), spans_of(t, "identifier", IDENTIFIER).alias("who"))).alias("_weak"),
     )
     none = F.array().cast(f"array<{SPAN}>")
     weak = lambda name: F.coalesce(F.col("_weak")[name], none)
     based = found.withColumn("base", F.concat("_assign", "_access", "_hex"))
     free = based.withColumns({
-        "_run": F.filter(weak("run"), lambda x: _apart(F.col("base"), x)),
+        "_run": F.filter(weak("run"), lambda x: (x["size"] > 0) & _apart(F.col("base"), x)),
         "_end": weak("end"), "_who": F.filter(weak("who"), lambda x: _apart(F.col("base"), x)),
     })
     who = F.concat("_access", "_who")
