@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, documents, whole
 from .components import components
+from .similar import similar_pairs
 
 SEED = 42
 SEGMENTS = (12, 24, 40, 64)
@@ -254,21 +255,29 @@ def near_edges(points: DataFrame, count: int, radius: int = 4, node_limit: int =
     return sorted_.mapInPandas(lambda batches: _stars(batches, radius), "u long, v long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, node_limit: int = 4096) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
+def simhash_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, node_limit: int = 4096, similarity: float | None = None
+) -> DataFrame:
+    """doc_id, fp and component_id of every row. With `similarity`, verified pairs of that Jaccard similarity link too (similar.py)."""
     scratch = Scratch(docs.sparkSession)
     prints = scratch.keep(fingerprints(docs, id_col, text_col, words).select(F.col("doc_id").cast("long"), "fp"), "prints")
     points = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("v")), "points")
-    linked = components(near_edges(points.where("v is not null"), points.count(), radius, node_limit), scratch)
+    edges = near_edges(points.where("v is not null"), points.count(), radius, node_limit)
+    if similarity is not None:
+        # A document that isn't its fingerprint's first links to that one, so pairs of documents meet the fingerprints' stars.
+        first = prints.join(points, "fp").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
+        edges = edges.unionByName(first).unionByName(similar_pairs(docs, scratch, id_col, text_col, similarity))
+    linked = components(edges, scratch)
     named = points.join(linked, points["v"] == linked["node"], "left").select(
         F.col("fp").alias("_fp"), F.coalesce("component", "v").alias("component_id")
     )
     return prints.join(named, prints["fp"] == named["_fp"], "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, similarity: float | None = 0.8) -> DataFrame:
     """docs without the rows that aren't their component's representative (the smallest id); all columns stay."""
-    lost = simhash_groups(docs, id_col, text_col, words, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
+    groups = simhash_groups(docs, id_col, text_col, words, radius, similarity=similarity)
+    lost = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
     return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
 
 

@@ -88,13 +88,35 @@ def test_simhash(spark, awkward):
         got = rows_of(simhash_groups(table(spark, texts), node_limit=limit))
         assert {i: (r["fp"] % 2**64, r["component_id"]) for i, r in got.items()} == {i: (fps[i], root(i)) for i in range(len(texts))}
     docs = table(spark, texts)
-    kept = keep_one_of_each_group(docs, words=4)
+    kept = keep_one_of_each_group(docs, words=4, similarity=None)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({root(i) for i in range(len(texts))}) and kept.columns == docs.columns
     twice = table(spark, ["", None, "x y"], [None, 7, 7])
     assert {(r["doc_id"], r["component_id"]) for r in simhash_groups(twice).collect()} == {(None, 7), (7, 7)}
     assert simhash_groups(docs.limit(0)).count() == 0
 
 
+def test_similar_texts_keep_one(spark, awkward):
+    from gaugeworks.llm.simhash import keep_one_of_each_group
+
+    rng = random.Random(13)
+    texts = [sentence(rng, 400) for _ in range(20)]
+    for i in range(10):
+        w = texts[i].split()
+        for k in range(20, 400, 50):  # 8 words, 40 of 396 shingles: similarity 0.82
+            w[k] = "zz" + str(i)
+        texts.append(" ".join(w))
+    for i in range(10, 15):
+        w = texts[i].split()
+        for k in range(3, 400, 12):  # similarity 0.4
+            w[k] = "yy"
+        texts.append(" ".join(w))
+    docs = table(spark, texts)
+    kept = keep_one_of_each_group(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(20), *range(30, 35)] and kept.columns == docs.columns
+    kept = {r["doc_id"] for r in keep_one_of_each_group(table(spark, awkward)).collect()}
+    assert {0, 6, 10} <= kept and not {1, 2, 7, 8, 9, 11} & kept
+
+
 def test_gray_index_finds_all_links():
     from gaugeworks.llm.simhash import GrayIndex, block_masks, blocks_for, gray_rank
 
