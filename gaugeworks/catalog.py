@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import analysis_queries, decision_queries, model_queries, quality_queries, signal_queries  # noqa: F401
+from .plans import analysis_queries, decision_queries, extra_queries, model_queries, quality_queries, signal_queries  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

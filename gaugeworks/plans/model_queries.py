@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import ml, qc, synth
+from ..operators import ml, synth
 from ..streaming import pipeline as streaming
 from . import fragments as fr
 from .registry import query
@@ -99,8 +99,3 @@ def gen1(spark, d):
 def gen5(spark, d):
     faults = synth.plan_faults(synth.station_ids(), steps=3 * 144, seed=42)
     return synth.inject(synth.base_signals(spark, days=3, seed=42), spark.createDataFrame(pd.DataFrame(faults))).select(*K, *[F.round(c, 4).alias(c) for c in CHANNELS], "anomaly_type")
-
-
-@query("prj10_clean_share")
-def prj10(spark, d):
-    return fr.telemetry(spark, d).groupBy("climate_zone").agg(F.avg(qc.exclusion().cast("int")).alias("excluded_share"))
