@@ -14,6 +14,11 @@ TELEMETRY = (
 )
 #: Hourly payloads name their series so.
 HOURLY = {"temperature_2m": "temperature_c", "relative_humidity_2m": "humidity_pct", "surface_pressure": "pressure_hpa"}
+#: And daily ones so.
+DAILY = {
+    **{f"temperature_2m_{k}": f"temperature_2m_{k}" for k in ("mean", "max", "min")}, **{f"relative_humidity_2m_{k}": f"relative_humidity_2m_{k}" for k in ("mean", "max", "min")},
+    "surface_pressure_mean": "surface_pressure_mean", "pressure_msl_mean": "pressure_msl_mean",
+}
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
@@ -29,12 +34,17 @@ def read_payload(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("station_id"), F.col("value").alias("body"))
 
 
-def from_payload(docs: DataFrame, section: str = "hourly") -> DataFrame:
-    """Columnar JSON to rows; values that aren't numbers become null."""
-    series = ", ".join(f"{c}: array<string>" for c in ["time", *HOURLY])
+def from_payload(docs: DataFrame, section: str = "hourly", names: dict[str, str] = HOURLY) -> DataFrame:
+    """Columnar JSON (section "daily" with DAILY for daily payloads) to rows; values that aren't numbers become null."""
+    series = ", ".join(f"{c}: array<string>" for c in ["time", *names])
     body = F.from_json("body", f"struct<{section}: struct<{series}>>")[section]
-    rows = docs.select("station_id", F.explode(F.arrays_zip(*[body[c].alias(c) for c in ["time", *HOURLY]])).alias("x"))
-    return rows.select("station_id", F.col("x.time").cast("timestamp_ntz").alias("timestamp"), *[F.col(f"x.{c}").try_cast("double").alias(n) for c, n in HOURLY.items()])
+    rows = docs.select("station_id", F.explode(F.arrays_zip(*[body[c].alias(c) for c in ["time", *names]])).alias("x"))
+    return rows.select("station_id", F.col("x.time").cast("timestamp_ntz").alias("timestamp"), *[F.col(f"x.{c}").try_cast("double").alias(n) for c, n in names.items()])
+
+
+def daily_telemetry(days: DataFrame) -> DataFrame:
+    """Daily rows with the telemetry's column names beside the providers'."""
+    return days.withColumns({"temperature_c": F.col("temperature_2m_mean"), "humidity_pct": F.col("relative_humidity_2m_mean"), "pressure_hpa": F.col("surface_pressure_mean")})
 
 
 def to_payload(df: DataFrame, section: str = "hourly") -> DataFrame:

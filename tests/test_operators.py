@@ -216,3 +216,25 @@ def test_config(tmp_path):
 def test_nearest_stations_can_be_restricted(spark):
     got = spatial.nearest_stations(telemetry.stations(spark), 3, references=["ST_0", "ST_1"])
     assert {r["neighbor_id"] for r in got.collect()} == {"ST_0", "ST_1"}
+
+
+def test_daily_payload(spark):
+    body = {"daily": {"time": ["2024-01-01"], **{k: [1.5] for k in payloads.DAILY}}}
+    docs = spark.createDataFrame([("C", json.dumps(body))], "station_id string, body string")
+    got = payloads.daily_telemetry(payloads.from_payload(docs, "daily", payloads.DAILY)).first()
+    assert got["temperature_c"] == got["pressure_msl_mean"] == 1.5 and str(got["timestamp"]) == "2024-01-01 00:00:00"
+
+
+def test_watermarked_stream(spark, tmp_path):
+    rows = telemetry.telemetry(spark, SF).where("slot < 30").select("station_id", "timestamp", *qc.SENSORS)
+    rows.unionByName(rows).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+
+    def run(df, name, mode):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name)
+
+    assert run(pipeline.deduplicated(stream), "once", "append").count() == rows.count()
+    counts = run(pipeline.hourly_counts(stream), "hours", "complete")
+    assert counts.agg(F.sum("n")).first()[0] == 2 * rows.count() and counts.agg(F.sum("n_null")).first()[0] == 2 * rows.where("temperature_c is null").count()
