@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, whole
+from .common import documents, small_batches, whole
 
 SLOTS = 1 << 12
 SYMBOLS = "#$%&*@^~|<>{}[]=+_\\"
@@ -154,7 +154,7 @@ class Scorer:
             class Memo(dict):
                 def __missing__(self, word):
                     a, b = word_slots(word)
-                    if len(self) > 300_000:
+                    if len(self) > 150_000:
                         self.clear()
                     self[word] = found = w[a] + w[b]
                     return found
@@ -171,6 +171,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000) -> tuple[dict[str, float], Scorer]:
     """Pattern posteriors from all documents, scorer from at most `sample` of them."""
 
+    small_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
 
     @F.pandas_udf("string")
@@ -183,8 +184,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     def describe(batches):
         for b in batches:
-            made = [facts(t) for t in b["_text"]]
-            yield pd.DataFrame({"_h": b["_h"], "v": [votes(f) for f in made], "x": [features(f).astype(np.float16).tobytes() for f in made]})
+            made = [(votes(f), features(f).astype(np.float16).tobytes()) for f in map(facts, b["_text"])]
+            yield pd.DataFrame({"_h": b["_h"], "v": [m[0] for m in made], "x": [m[1] for m in made]})
 
     # Documents under a hash bound that about twice the sample meets, then the least hashes of them: all if fewer.
     hashed = rows.withColumn("_h", F.xxhash64("doc_id", F.xxhash64("_text")))
@@ -205,10 +206,10 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _score_batches(posterior, scorer, threshold):
     def run(batches):
         for b in batches:
-            made = [facts(t) for t in b["_text"]]
-            ballot = [votes(f) for f in made]
-            score = np.array([scorer.score(f) for f in made], float)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "votes": ballot, "posterior": [posterior.get(v, 0.0) for v in ballot], "score": score, "keep": (score >= threshold) & [f[1] > 0 for f in made]})
+            # One text's words at a time: a batch's would be many times its size.
+            made = [(votes(f), scorer.score(f), f[1] > 0) for f in map(facts, b["_text"])]
+            score = np.array([m[1] for m in made], float)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "votes": [m[0] for m in made], "posterior": [posterior.get(m[0], 0.0) for m in made], "score": score, "keep": (score >= threshold) & np.array([m[2] for m in made], bool)})
 
     return run
 
@@ -220,8 +221,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     @F.pandas_udf("boolean")
     def good(text: pd.Series) -> pd.Series:
-        made = [facts(t) for t in text]
-        return pd.Series([f[1] > 0 and scorer.score(f) >= threshold for f in made], dtype=bool)
+        return pd.Series([f[1] > 0 and scorer.score(f) >= threshold for f in map(facts, text)], dtype=bool)
 
     return docs.where(good(whole(text_col)))
 
