@@ -10,7 +10,7 @@ and round reaches the driver, and the step is scaled by tokens, which makes it s
 Targets: weights of the domains, of as many tokens as leave the anchor domain at its own; a domain that has less than its
 weight asks for keeps what it has, so that no document need be repeated.
 
-The classifier is naive Bayes over hashed words on at most `sample` labelled rows (least hashes). Labels repeat or clash:
+The classifier is Bernoulli naive Bayes over telling hashed words, on at most `sample` labelled rows (least hashes). Labels repeat or clash:
 the greatest (toxic, -quality) of a document counts.
 
 Defined cases: null and empty texts have no tokens, the prior as posterior, and the rate that this gives; labels with null
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, documents, whole
 
-SLOTS = 1 << 14
+SLOTS = 1 << 18
 #: Domains of the labelled table, and the default target weights.
 DOMAINS = ("clean", "toxic", "low")
 WEIGHTS = {"clean": 0.97, "toxic": 0.02, "low": 0.01}
@@ -44,14 +44,19 @@ def _slot(word: str) -> int:
 
 
 class Bayes:
-    """Word log likelihoods by domain; evidence is tempered, as words are not independent."""
-
-    def __init__(self, counts: np.ndarray, docs: np.ndarray):
-        self.log = np.log(counts + 0.2) - np.log((counts + 0.2).sum(1, keepdims=True))
-        self.prior = np.log(docs + 0.5) - np.log((docs + 0.5).sum())
-        # A word tells by its best domain against the average: only rare, telling words weigh.
-        self.gain = (self.log - self.log[:1]).T.astype(np.float64)
-        self.gain[np.abs(self.gain) < 1.0] = 0.0
+    """Bernoulli naive Bayes over telling slots: present and absent words count, words as common in every domain don't.
+
+    A slot is telling if the share of a domain's documents that hold it is `lift` times the first domain's, and at least `least` documents and three in a hundred of some domain hold it.
+    """
+
+    def __init__(self, counts: np.ndarray, docs: np.ndarray, lift: float = 4.0, least: int = 8):
+        share = (counts + 0.5) / (docs[:, None] + 1)
+        far = share >= lift * share[:1]
+        known = (counts >= np.maximum(least, docs[:, None] * 0.03)).any(0)
+        telling = np.flatnonzero(far.any(0) & known)
+        share = share[:, telling]
+        self.base = np.log((docs + 0.5) / (docs + 0.5).sum()) + np.log1p(-share).sum(1)
+        self.gain = dict(zip(telling.tolist(), (np.log(share) - np.log1p(-share)).T))
         self.memo: dict | None = None
 
     def posterior(self, words: list[str]) -> np.ndarray:
@@ -60,15 +65,16 @@ class Bayes:
 
             class Memo(dict):
                 def __missing__(self, word):
-                    if len(self) > 300_000:
+                    if len(self) > 150_000:
                         self.clear()
-                    row = gain[_slot(word)]
-                    self[word] = found = _slot(word) if row.any() else -1
+                    slot = _slot(word)
+                    self[word] = found = slot if slot in gain else -1
                     return found
 
             self.memo = Memo()
-        at = {s for s in map(self.memo.__getitem__, words) if s >= 0}
-        z = self.prior + (self.gain[list(at)].sum(0) if at else 0)
+        at = set(map(self.memo.__getitem__, words))
+        at.discard(-1)
+        z = sum((self.gain[k] for k in sorted(at)), self.base)
         p = np.exp(z - z.max())
         return p / p.sum()
 
@@ -108,9 +114,9 @@ def memberships(docs: DataFrame, model: Bayes, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for b in batches:
-            words = [t.split() for t in b["_text"]]
-            p = np.array([held.value.posterior(w) for w in words]).reshape(-1, len(names))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": np.array([len(w) for w in words], np.int64), **{n: p[:, k] for k, n in enumerate(names)}})
+            made = [(len(w), held.value.posterior(w)) for w in (t.split() for t in b["_text"])]
+            p = np.array([m[1] for m in made]).reshape(-1, len(names))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": np.array([m[0] for m in made], np.int64), **{n: p[:, k] for k, n in enumerate(names)}})
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text")).mapInPandas(run, f"doc_id {kind}, tokens long, " + ", ".join(f"{n} double" for n in names))
@@ -139,7 +145,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, moments: np.ndarray, tota
     while True:
         reached = np.array([x or 0.0 for x in members.withColumn("_r", _rate(steps, most)).agg(*sums).first()])
         gap = (reached - targets) / total
-        still = before is not None and np.abs(gap - before).max() <= tolerance / 100
+        still = before is not None and np.linalg.norm(gap) > 0.99 * np.linalg.norm(before)
         if len(steps) >= rounds or np.abs(gap).max() <= tolerance or still:
             return steps, reached
         before = gap
@@ -173,8 +179,12 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return members.withColumn("rate", _rate(steps, options.get("max_rate")))
 
 
-def copies_of(id_col, rate):
-    """How often a document enters the mix: the rate's whole part, and one more with the rest as chance (by its id's hash)."""
+def copies_of(id_col, rate, slack: float = 0.1):
+    """How often a document enters the mix: the rate's whole part, and one more with the rest as chance (by its id's hash).
+
+    A rate within `slack` of a whole number is that number, so that near-certain documents aren't left to chance.
+    """
+    rate = F.when(F.abs(rate - F.round(rate)) <= slack, F.round(rate)).otherwise(rate)
     chance = F.pmod(F.xxhash64(F.lit("mix"), id_col), F.lit(1 << 30)) / float(1 << 30)
     return (F.floor(rate + 1e-9) + F.when(chance < rate + 1e-9 - F.floor(rate + 1e-9), 1).otherwise(0)).cast("int")
 
@@ -193,10 +203,11 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             r = np.clip(r - p @ g, 0.0, most)
         return pd.Series(r)
 
-    dealt = docs.withColumn("_n", copies_of(F.col(id_col), F.round(rate(whole(text_col)), 2))).where("_n > 0")
-    return dealt.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    n = "_copies" + "_" * max(map(len, docs.columns))  # a name that no column has
+    dealt = docs.withColumn(n, copies_of(F.col(id_col), rate(whole(text_col)))).where(F.col(n) > 0)
+    return dealt.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op5_source_mixing(spark, sf_dir):
     rates = mixing_rates(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rates.select("doc_id", "tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", copies_of(F.col("doc_id"), F.round("rate", 2)).alias("copies"))
+    return rates.select("doc_id", "tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", copies_of(F.col("doc_id"), F.col("rate")).alias("copies"))
