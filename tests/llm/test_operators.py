@@ -380,3 +380,30 @@ def test_components_of_a_chain(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "u long, v long"), Scratch(spark)).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark)).count() == 0
+
+
+def test_match_is_exact():
+    from gaugeworks.llm.passages import match
+
+    def brute(x, y, t):
+        w = [[set(z[i : i + t].tolist()) for i in range(len(z) - t + 1)] for z in (x, y)]
+        hit = np.array([[len(p & q) >= 0.8 * len(p | q) for q in w[1]] for p in w[0]]).reshape(len(w[0]), len(w[1]))
+        return hit.any(1).tolist(), hit.any(0).tolist()
+
+    from gaugeworks.llm.passages import Tokens
+
+    rng = random.Random(21)
+    for case in range(60):
+        words = sentence(rng, 50).split()
+        at = 20 + rng.randrange(10)
+        other = words[:at] + ["zzinserted"] + words[at:] if case % 2 else words[:at] + words[at + 1 :]
+        x, y = (Tokens.of(" ".join([sentence(rng, rng.randint(1, 30)), *z, sentence(rng, rng.randint(1, 30))])) for z in (words, other))
+        good, also = match(x, y, 46, 0.8)
+        assert (good.tolist(), also.tolist()) == brute(x, y, 46) and (good.any() and also.any() or case % 2 == 0)
+    some = np.random.default_rng(3)
+    for kinds, t, tile in ((3, 5, 4), (30, 8, 7), (12, 10, 256)):
+        for _ in range(40):
+            x, y = (some.integers(0, kinds, some.integers(1, 50)).astype(np.uint64) for _ in range(2))
+            y[: len(x) // 2] = x[: len(y[: len(x) // 2])]
+            good, also = match(x, y, t, 0.8, tile)
+            assert (good.tolist(), also.tolist()) == (brute(x, y, t) if len(x) >= t and len(y) >= t else ([False] * max(0, len(x) - t + 1), [False] * max(0, len(y) - t + 1)))
