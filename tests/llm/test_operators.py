@@ -407,3 +407,32 @@ def test_match_is_exact():
             y[: len(x) // 2] = x[: len(y[: len(x) // 2])]
             good, also = match(x, y, t, 0.8, tile)
             assert (good.tolist(), also.tolist()) == (brute(x, y, t) if len(x) >= t and len(y) >= t else ([False] * max(0, len(x) - t + 1), [False] * max(0, len(y) - t + 1)))
+
+
+def mixture(spark, rng, n, toxic, low):
+    """n documents, of which the given shares are toxic and low, all labelled; their domains; the labels."""
+    domains = [1 if i < n * toxic else 2 if i < n * (toxic + low) else 0 for i in range(n)]
+    texts = [sentence(rng, 40) + (" kind fine good", " trash clown stupid", " spam click buy")[d] for d in domains]
+    labels = spark.createDataFrame([(i, int(d != 2), int(d == 1)) for i, d in enumerate(domains)], "doc_id long, quality int, toxic int")
+    return table(spark, texts), labels, domains
+
+
+def dealt_shares(got, domains):
+    tokens = [sum(r["copies"] * r["tokens"] for i, r in got.items() if domains[i] == d) for d in range(3)]
+    return [x / sum(tokens) for x in tokens]
+
+
+def test_mixing_deals_small_rates(spark):
+    from pyspark.sql import functions as F
+
+    from gaugeworks.llm.mixing import copies_of, mixing_rates
+
+    docs, labels, domains = mixture(spark, random.Random(22), 3000, 0.25, 0.12)
+    for most in (None, 1.0):
+        rates = mixing_rates(docs, labels, max_rate=most)
+        got = rows_of(rates.withColumn("copies", copies_of(F.col("doc_id"), F.col("rate"))))
+        assert all(r["rate"] < 0.1 for i, r in got.items() if domains[i])
+        shares = dealt_shares(got, domains)
+        assert abs(shares[1] - 0.02) < 0.008 and abs(shares[2] - 0.01) < 0.006
+    few = rows_of(spark.range(20000).select(F.col("id").alias("doc_id"), copies_of(F.col("id"), F.lit(0.94)).alias("a"), copies_of(F.col("id"), F.lit(1.06)).alias("b")))
+    assert abs(sum(r["a"] for r in few.values()) / 20000 - 0.94) < 0.01 and abs(sum(r["b"] for r in few.values()) / 20000 - 1.06) < 0.01
