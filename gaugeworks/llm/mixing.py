@@ -7,8 +7,9 @@ projection also holds rates at that). A round
 sums one number a domain; a document's rate is replayed from the rounds' gradients, so nothing but a number a domain
 and round reaches the driver, and the step is scaled by tokens, which makes it safe at any size.
 
-Targets: weights of the domains, of as many tokens as leave the anchor domain at its own; a domain that has less than its
-weight asks for keeps what it has, so that no document need be repeated.
+Targets: weights of the domains, of as many tokens as leave the anchor domain at its own; documents of a domain that has
+less than its weight asks for get rates over 1. Only with max_rate is a target held at max_rate times what the domain has.
+A domain without any label keeps what it has.
 
 The classifier is Bernoulli naive Bayes over telling hashed words, on at most `sample` labelled rows (least hashes). Labels repeat or clash:
 the greatest (toxic, -quality) of a document counts.
@@ -50,6 +51,7 @@ class Bayes:
     """
 
     def __init__(self, counts: np.ndarray, docs: np.ndarray, lift: float = 4.0, least: int = 8):
+        self.docs = docs
         share = (counts + 0.5) / (docs[:, None] + 1)
         far = share >= lift * share[:1]
         known = (counts >= np.maximum(least, docs[:, None] * 0.03)).any(0)
@@ -169,7 +171,11 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     moments = np.array([float(x) for x in facts[1 + len(DOMAINS) :]]).reshape(len(DOMAINS), -1) / total
     weight = np.array([(weights or WEIGHTS)[d] for d in DOMAINS])
     lead = DOMAINS.index(anchor)
-    targets = np.minimum(have, have[lead] * weight / weight[lead])
+    targets = have[lead] * weight / weight[lead]
+    if max_rate is not None:
+        targets = np.minimum(have * max_rate, targets)
+    # Nothing tells the documents of a domain without labels apart.
+    targets = np.where(model.docs > 0, targets, have)
     return model, fit_rates(members, targets, moments, total, rounds, max_rate)[0], members
 
 

@@ -436,3 +436,17 @@ def test_mixing_deals_small_rates(spark):
         assert abs(shares[1] - 0.02) < 0.008 and abs(shares[2] - 0.01) < 0.006
     few = rows_of(spark.range(20000).select(F.col("id").alias("doc_id"), copies_of(F.col("id"), F.lit(0.94)).alias("a"), copies_of(F.col("id"), F.lit(1.06)).alias("b")))
     assert abs(sum(r["a"] for r in few.values()) / 20000 - 0.94) < 0.01 and abs(sum(r["b"] for r in few.values()) / 20000 - 1.06) < 0.01
+
+
+def test_mixing_raises_under_represented_domains(spark):
+    from pyspark.sql import functions as F
+
+    from gaugeworks.llm.mixing import copies_of, mixing_rates
+
+    docs, labels, domains = mixture(spark, random.Random(23), 3000, 0.012, 0.008)
+    weights = {"clean": 0.5, "toxic": 0.25, "low": 0.25}
+    for want in (None, weights):
+        got = rows_of(mixing_rates(docs, labels, weights=want).withColumn("copies", copies_of(F.col("doc_id"), F.col("rate"))))
+        assert np.abs(np.array(dealt_shares(got, domains)) - list((want or {"clean": 0.97, "toxic": 0.02, "low": 0.01}).values())).max() < 0.004
+    held = mixing_rates(docs, labels, weights=weights, max_rate=1.0).collect()
+    assert all(abs(r["rate"] - 1) < 0.01 for r in held)
