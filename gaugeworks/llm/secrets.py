@@ -72,8 +72,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id",
         F.filter(spans_of(t, "assign", ASSIGN, 1), lambda x: x["size"] >= 12).alias("_assign"),
         spans_of(t, "access", ACCESS).alias("_access"), spans_of(t, "hex", HEX).alias("_hex"),
-        # Weak parts matter only in documents that hold a strong one.
-        F.when(t.rlike(rf"{ACCESS}|{HEX}|{ASSIGN}"), F.struct(spans_of(t, "secret", RUN, size=mixed_size).alias("run"), spans_of(t, "endpoint", ENDPOINT).alias("end"), spans_of(t, "identifier", IDENTIFIER).alias("who"))).alias("_weak"),
+        # Nothing links without an access or named identifier and a run, hex or assignment.
+        F.when(t.rlike(rf"{ACCESS}|{IDENTIFIER}") & t.rlike(rf"{HEX}|{RUN}|{ASSIGN}"), F.struct(spans_of(t, "secret", RUN, size=mixed_size).alias("run"), spans_of(t, "endpoint", ENDPOINT).alias("end"), spans_of(t, "identifier", IDENTIFIER).alias("who"))).alias("_weak"),
     )
     none = F.array().cast(f"array<{SPAN}>")
     weak = lambda name: F.coalesce(F.col("_weak")[name], none)

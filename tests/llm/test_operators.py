@@ -450,3 +450,14 @@ def test_mixing_raises_under_represented_domains(spark):
         assert np.abs(np.array(dealt_shares(got, domains)) - list((want or {"clean": 0.97, "toxic": 0.02, "low": 0.01}).values())).max() < 0.004
     held = mixing_rates(docs, labels, weights=weights, max_rate=1.0).collect()
     assert all(abs(r["rate"] - 1) < 0.01 for r in held)
+
+
+def test_secrets_of_weak_parts_alone(spark):
+    from gaugeworks.llm.secrets import scan_secrets
+
+    key = "Ab3dEfGhIjKlMnOpQrStUvWxYz1234567890/+Zz"
+    parts = f"client_id=Acme.User77 key {key} at https://api.example.com/v1"
+    texts = [parts, parts + " " + "q " * 500 + "0123456789abcdef", key + " https://api.example.com/v1", "client_id=Acme.User77 https://api.example.com/v1", "client_id=Acme.User77 " + "q " * 300 + key]
+    got = {r["doc_id"]: sorted((s["kind"], s["start"]) for s in r["linked"]) for r in scan_secrets(table(spark, texts)).collect()}
+    want = sorted([("identifier", 0), ("secret", texts[0].index(key)), ("endpoint", texts[0].index("https"))])
+    assert got == {0: want, 1: want, 2: [], 3: [], 4: []}
