@@ -2,7 +2,8 @@
 
 SimHash fingerprints within a few bits mean nearly equal texts; documents that share four fifths of their shingles differ
 in about ten bits, too many for an exact index. So candidates come from min-hashes: `bands` keys of `rows` minima each, and
-every document is paired with the first one of its key (a star). Pairs are verified on the shingles themselves.
+every document is first paired with the first one of its key (a star). What the verified stars leave unlinked is compared in
+full: of every key, all pairs of documents that are not in one component yet. Pairs are verified on the shingles themselves.
 At similarity 0.8 a pair shares one of 8 keys of 4 minima with probability 0.985, at 0.9 with 0.9998.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, whole
+from .components import components
 from .passages import Tokens
 
 
@@ -33,7 +35,7 @@ def minima(tokens: np.ndarray, n: int) -> np.ndarray:
 
 
 def band_keys(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
-    """(doc, key): documents with fewer than five words have no shingles and no key."""
+    """(doc, n, key), n the distinct shingles: documents with fewer than five words have no shingles and no key."""
 
     def run(batches):
         import xxhash
@@ -44,14 +46,31 @@ def band_keys(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
                 x = Tokens.of(text)
                 if len(x):
                     m = minima(x, bands * per_band).reshape(bands, per_band)
-                    out += [(doc, xxhash.xxh64_intdigest(m[k].tobytes(), k) - (1 << 63)) for k in range(bands)]
-            yield pd.DataFrame(out, columns=["doc", "key"]).astype({"doc": "int64", "key": "int64"})
+                    n = len(np.unique(x))
+                    out += [(doc, n, xxhash.xxh64_intdigest(m[k].tobytes(), k) - (1 << 63)) for k in range(bands)]
+            yield pd.DataFrame(out, columns=["doc", "n", "key"]).astype({"doc": "int64", "n": "int32", "key": "int64"})
 
-    return rows.mapInPandas(run, "doc long, key long")
+    return rows.mapInPandas(run, "doc long, n int, key long")
+
+
+def _unsettled(keys: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v, nu, nv), u > v: pairs that share a key and aren't in one component of links.
+
+    Of a key's largest component no two members pair, so a hot key costs its members times those outside of it.
+    """
+    classes = components(links, scratch)
+    held = keys.join(classes.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
+    held = scratch.keep(held, "held")
+    main = held.groupBy("key", "c").agg(F.count(F.lit(1)).alias("_n")).groupBy("key").agg(F.max(F.struct("_n", "c")).alias("_m"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    open_ = scratch.keep(held.join(scratch.keep(main.select("key", F.col("_m.c").alias("main")), "main"), "key"), "open")
+    # Written first: a hot key's rows can then be split between tasks of the join.
+    out = scratch.keep(open_.where("c <> main").select("key", F.col("doc").alias("o"), F.col("n").alias("no"), F.col("c").alias("co")), "outside")
+    pairs = open_.join(out, "key").where("c <> co and (c = main or doc > o)")
+    return pairs.select(F.greatest("doc", "o").alias("u"), F.least("doc", "o").alias("v"), F.when(F.col("doc") > F.col("o"), F.col("n")).otherwise(F.col("no")).alias("nu"), F.when(F.col("doc") > F.col("o"), F.col("no")).otherwise(F.col("n")).alias("nv"))
 
 
 def similar_pairs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 8, per_band: int = 4) -> DataFrame:
-    """(u, v): verified pairs, each of a document and the first of one of its keys. Ids are taken to be unique."""
+    """(u, v): verified pairs, enough of them that any two similar documents that share a key are in one component. Ids are taken to be unique."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), whole(text_col).alias("_text"))
     keys = scratch.keep(band_keys(rows, bands, per_band), "keys")
     first = scratch.keep(keys.groupBy("key").agg(F.min("doc").alias("v"), F.max("doc").alias("_m")).where("v <> _m").select("key", "v"), "first")
@@ -63,7 +82,6 @@ def similar_pairs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
             yield pd.DataFrame({"doc": b["doc"], "x": [np.unique(Tokens.of(t)).tobytes() for t in b["_text"]]})
 
     sets = scratch.keep(needed.join(rows, "doc").mapInPandas(shingles, "doc long, x binary"), "sets")
-    both = pairs.join(sets.select(F.col("doc").alias("u"), "x"), "u").join(sets.select(F.col("doc").alias("v"), F.col("x").alias("y")), "v")
 
     def verify(batches):
         for b in batches:
@@ -74,4 +92,11 @@ def similar_pairs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
                 keep.append(same >= similarity * (len(p) + len(q) - same) - 1e-9)
             yield b.loc[keep, ["u", "v"]]
 
-    return both.select("u", "v", "x", "y").mapInPandas(verify, "u long, v long")
+    def verified(some):
+        both = some.join(sets.select(F.col("doc").alias("u"), "x"), "u").join(sets.select(F.col("doc").alias("v"), F.col("x").alias("y")), "v")
+        return scratch.keep(both.select("u", "v", "x", "y").mapInPandas(verify, "u long, v long"), "links")
+
+    links = verified(pairs)
+    # Sets whose sizes differ by more than the bound can't be similar; the stars' pairs are settled.
+    rest = _unsettled(keys, links, scratch).where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9).select("u", "v").distinct()
+    return links.unionByName(verified(scratch.keep(rest.join(pairs, ["u", "v"], "left_anti"), "rest")))

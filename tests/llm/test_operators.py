@@ -461,3 +461,39 @@ def test_secrets_of_weak_parts_alone(spark):
     got = {r["doc_id"]: sorted((s["kind"], s["start"]) for s in r["linked"]) for r in scan_secrets(table(spark, texts)).collect()}
     want = sorted([("identifier", 0), ("secret", texts[0].index(key)), ("endpoint", texts[0].index("https"))])
     assert got == {0: want, 1: want, 2: [], 3: [], 4: []}
+
+
+def template_family(rng):
+    """Copies of one template at similarity about 0.7 to each other; every other one has a twin at about 0.83."""
+    base = sentence(rng, 400).split()
+
+    def changed(words, k, name):
+        out = list(words)
+        for at in rng.sample(range(5, 395, 6), k):
+            out[at] = f"{name}x{at}"
+        return out
+
+    firsts = [changed(base, 7, f"a{i}") for i in range(120)]
+    return [" ".join(w) for w in firsts + [changed(w, 7, f"b{i}") for i, w in enumerate(firsts) if i % 2]]
+
+
+def similar_links(texts, similarity=0.8):
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    return {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])}
+
+
+def test_template_family_keeps_no_similar_pair_of_a_key(spark):
+    from gaugeworks.llm.common import Scratch, whole
+    from gaugeworks.llm.components import components
+    from gaugeworks.llm.similar import band_keys, similar_pairs
+
+    texts = template_family(random.Random(24))
+    docs, scratch = table(spark, texts), Scratch(spark)
+    held = collections.defaultdict(set)
+    for r in band_keys(docs.select(docs.doc_id.alias("doc"), whole("text").alias("_text")), 8, 4).collect():
+        held[r["doc"]].add(r["key"])
+    want = {(i, j) for i, j in similar_links(texts) if held[i] & held[j]}
+    found = similar_pairs(docs, scratch)
+    assert {(r["u"], r["v"]) for r in found.collect()} <= want
+    got = {r["node"]: r["component"] for r in components(found, scratch).collect()}
+    assert len(want) > 50 and all(i in got and j in got and got[i] == got[j] for i, j in want)
