@@ -497,3 +497,35 @@ def test_template_family_keeps_no_similar_pair_of_a_key(spark):
     assert {(r["u"], r["v"]) for r in found.collect()} <= want
     got = {r["node"]: r["component"] for r in components(found, scratch).collect()}
     assert len(want) > 50 and all(i in got and j in got and got[i] == got[j] for i, j in want)
+
+
+def passage_after_a_variant(rng):
+    """A passage of 50 words and a variant at similarity 0.64 that has the same three signatures."""
+    from gaugeworks.llm.passages import FUNCTIONS, Tokens, compact_windows
+
+    def signatures(words):
+        x = Tokens.of(" ".join(words))
+        made = compact_windows(x, np.array([0]), np.array([len(x)]), 46)
+        return dict(zip(made[0].tolist(), made[1].tolist()))
+
+    while True:
+        words = sentence(rng, 50).split()
+        for _ in range(20):
+            other = list(words)
+            for at in rng.sample(range(5, 45, 7), 2):
+                other[at] = "zz" + str(rng.random())
+            one, two = signatures(words), signatures(other)
+            if len(one) == FUNCTIONS and one == two:
+                return " ".join(words), " ".join(other)
+
+
+def test_verbatim_passage_after_a_variant(spark):
+    from gaugeworks.llm.passages import repeated_passages
+
+    rng = random.Random(25)
+    texts = []
+    for _ in range(8):
+        passage, variant = passage_after_a_variant(rng)
+        texts += [" ".join([sentence(rng, 30), variant, sentence(rng, 600), passage, sentence(rng, 30)]), " ".join([sentence(rng, 40), passage, sentence(rng, 40)])]
+    got = {(r["doc_id"], r["class_id"]) for r in repeated_passages(table(spark, texts)).collect()}
+    assert got == {(i, i // 2 * 2) for i in range(16)}
