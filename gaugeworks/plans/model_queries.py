@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import ml, synth
+from ..operators import features, ml, stats, synth
 from ..streaming import pipeline as streaming
 from . import fragments as fr
+from . import telemetry as tel
 from .registry import query
 
 K = ["station_id", "timestamp"]
@@ -28,15 +29,24 @@ def ml1(spark, d):
     return ml.add_scores(fr.kept(spark, d), CHANNELS, forest.score, "if_score").select(*K, F.round("if_score", 6).alias("if_score"))
 
 
-def _autoencoder(spark, d, size=24):
-    x = ml.bounded_sample(_normal(spark, d), CHANNELS, K, 2000).to_numpy(float)
-    mean, std = (x.mean(0), x.std(0)) if len(x) else (np.zeros(3), np.ones(3))
-    scaled = fr.kept(spark, d).withColumns({f"z{i}": (F.col(c) - float(mean[i])) / float(std[i] or 1) for i, c in enumerate(CHANNELS)})
+def _training_windows(scaled, cols, size, most):
+    """(windows, size, channels): at most `most` windows of normal rows, each inside one segment, chosen by hash of (station, segment, start).
+
+    Without any such window a single one of zeros, so that every step's prediction is the mean.
+    """
+    by = ["station_id", "segment_id"]
+    starts = features.training_windows(scaled, size)
+    chosen = starts.withColumn("_h", F.xxhash64(*by, "start")).orderBy("_h", *by, "start").limit(most).drop("_h")
+    rows = scaled.select(*by, "timestamp", *cols).join(F.broadcast(chosen), by).where((F.col("timestamp") >= F.col("start")) & (F.col("timestamp") < F.col("start") + F.make_dt_interval(secs=F.lit(size * tel.CADENCE_S))))
+    z = rows.toPandas().sort_values([*by, "start", "timestamp"])[cols].to_numpy(float)
+    return z.reshape(-1, size, len(cols)) if len(z) else np.zeros((1, size, len(cols)))
+
+
+def _autoencoder(spark, d, size=24, most=1000):
+    fitted = {r["feature"]: r for r in stats.scaler(_normal(spark, d), CHANNELS).collect()}
+    scaled = fr.kept(spark, d).withColumns({f"z{i}": (F.col(c) - float(fitted[c]["mean"] or 0)) / float(fitted[c]["std"] or 1) for i, c in enumerate(CHANNELS)})
     cols = [f"z{i}" for i in range(3)]
-    rows = ml.bounded_sample(scaled.where("not is_anomaly"), [*K, *cols], ["station_id", "segment_id"], 2000).sort_values(K)
-    z = rows[cols].to_numpy(float)
-    windows = np.stack([z[i : i + size] for i in range(0, max(1, len(z) - size), 2)]) if len(z) >= size else np.zeros((1, size, 3))
-    return scaled, ml.RecurrentAutoencoder(3).fit(windows), cols
+    return scaled, ml.RecurrentAutoencoder(3).fit(_training_windows(scaled, cols, size, most)), cols
 
 
 @query("ml2_recurrent_scores")

@@ -238,3 +238,22 @@ def test_watermarked_stream(spark, tmp_path):
     assert run(pipeline.deduplicated(stream), "once", "append").count() == rows.count()
     counts = run(pipeline.hourly_counts(stream), "hours", "complete")
     assert counts.agg(F.sum("n")).first()[0] == 2 * rows.count() and counts.agg(F.sum("n_null")).first()[0] == 2 * rows.where("temperature_c is null").count()
+
+
+def test_recurrent_training_windows_are_whole_and_from_all_stations(spark):
+    from gaugeworks.plans import fragments, model_queries
+
+    d = "/root/testdata/sf0.01"
+    normal = fragments.kept(spark, d).where("not is_anomaly").toPandas()
+    scaled, _, cols = model_queries._autoencoder(spark, d)
+    rows = scaled.toPandas().sort_values(["station_id", "timestamp"]).reset_index(drop=True)
+    for z, c in zip(cols, model_queries.CHANNELS):
+        assert np.allclose(rows[z], (rows[c] - normal[c].mean()) / normal[c].std(ddof=0))
+    allowed = {}
+    for (station, _), part in rows.groupby(["station_id", "segment_id"]):
+        x, bad = part[cols].to_numpy(), part["is_anomaly"].to_numpy()
+        allowed |= {x[i : i + 24].round(9).tobytes(): station for i in range(0, len(x) - 23, 2) if not bad[i : i + 24].any()}
+    everything = model_queries._training_windows(scaled, cols, 24, 10**6)
+    assert sorted(w.round(9).tobytes() for w in everything) == sorted(allowed)
+    few = model_queries._training_windows(scaled, cols, 24, 40)
+    assert few.shape == (40, 24, 3) and {allowed[w.round(9).tobytes()] for w in few} == set(rows["station_id"])
