@@ -120,7 +120,7 @@ def ml6(spark, d):
     typed, _, _ = _classified(spark, d)
     rows = ml.bounded_sample(typed, [*CLASSIFIER, "truth"], K, 3000)
     x, truth = rows[CLASSIFIER].to_numpy(float), rows["truth"].to_numpy()
-    models = {w: ml.MetaClassifier(x, truth.tolist(), {k: v * w if k != "normal" else v for k, v in CLASS_WEIGHTS.items()}, rounds=100) for w in (1, 5, 20)}
+    models = {w: ml.MetaClassifier(x, truth.tolist(), {k: v * w if k != "normal" else v for k, v in CLASS_WEIGHTS.items()}, rounds=100) for w in (1, 5, 20, 50, 100)}
 
     def run(batches):
         import pandas as pd

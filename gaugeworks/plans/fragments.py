@@ -113,10 +113,12 @@ def tier3(spark, d):
     return fusion.pseudo_scores(fusion.consistency_flags(scaled, LEAN, check_dew_point=False))
 
 
-def tier4(spark, d):
+def tier4(spark, d, scores=None):
+    """scores: if_score and gru_score of fitted models by station and time, in place of the stand-ins that SQL can check."""
     t1 = qc.rule_qc(telemetry(spark, d)).select(*KEYS, "anomaly_type", "is_anomaly", "is_flagged", "flag_reason")
     t3 = tier3(spark, d)
-    t2 = fusion.ensemble_flags(t3, 0.9, 1.2).select(*KEYS, "if_score", "gru_score", "if_flagged", "gru_flagged")
+    tier2 = t3 if scores is None else scores
+    t2 = fusion.ensemble_flags(tier2, 0.9, 1.2).select(*KEYS, "if_score", "gru_score", "if_flagged", "gru_flagged")
     both = t3.select(*KEYS, "mahalanobis_dist", "mahalanobis_flagged", "buddy_flagged", "isolated_deviation")
     return fusion.gated_rule(fusion.reconcile(t1, t2, both))
 

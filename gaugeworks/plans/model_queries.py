@@ -22,13 +22,17 @@ def _normal(spark, d):
     return fr.kept(spark, d).where(~F.col("is_anomaly"))
 
 
-@query("ml1_isolation_forest")
-def ml1(spark, d):
+def _forest_scores(spark, d):
     x = ml.bounded_sample(_normal(spark, d), CHANNELS, K, 2000).to_numpy(float)
-    forest = ml.IsolationForest(x, trees=50)
+    forest = ml.IsolationForest(x, trees=150)
     return ml.add_scores(fr.kept(spark, d), CHANNELS, forest.score, "if_score").select(*K, F.round("if_score", 6).alias("if_score"))
 
 
+@query("ml1_isolation_forest")
+def ml1(spark, d):
+    return _forest_scores(spark, d)
+
+
 def _training_windows(scaled, cols, size, most):
     """(windows, size, channels): at most `most` windows of normal rows, each inside one segment, chosen by hash of (station, segment, start).
 
@@ -49,14 +53,19 @@ def _autoencoder(spark, d, size=24, most=1000):
     return scaled, ml.RecurrentAutoencoder(3).fit(_training_windows(scaled, cols, size, most)), cols
 
 
-@query("ml2_recurrent_scores")
-def ml2(spark, d):
+def _recurrent_scores(spark, d):
     scaled, model, cols = _autoencoder(spark, d)
     return ml.window_scores(scaled.select(*K, "segment_id", *cols), model, cols, 24, "gru_score").select(*K, F.round("gru_score", 6).alias("gru_score"))
 
 
+@query("ml2_recurrent_scores")
+def ml2(spark, d):
+    return _recurrent_scores(spark, d)
+
+
 def _classified(spark, d):
-    typed = fr.tier4(spark, d).where("tier_coverage = 'full'").withColumns({
+    scores = _forest_scores(spark, d).join(_recurrent_scores(spark, d), K, "full_outer")
+    typed = fr.tier4(spark, d, scores).where("tier_coverage = 'full'").withColumns({
         "t1": F.col("tier1_flagged").cast("double"), "buddy": F.col("buddy_flagged").cast("double"), "isolated": F.col("isolated_deviation").cast("double"),
         "truth": F.coalesce("anomaly_type", F.lit("normal")),
     }).fillna(0.0, subset=CLASSIFIER)

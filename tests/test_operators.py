@@ -257,3 +257,15 @@ def test_recurrent_training_windows_are_whole_and_from_all_stations(spark):
     assert sorted(w.round(9).tobytes() for w in everything) == sorted(allowed)
     few = model_queries._training_windows(scaled, cols, 24, 40)
     assert few.shape == (40, 24, 3) and {allowed[w.round(9).tobytes()] for w in few} == set(rows["station_id"])
+
+
+def test_learned_queries_use_the_fitted_scores(spark):
+    from gaugeworks.plans import extra_queries, model_queries
+
+    keys = ["station_id", "timestamp"]
+    typed, _, _ = model_queries._classified(spark, SF)
+    got = typed.select(*keys, "if_score", "gru_score").toPandas().sort_values(keys).reset_index(drop=True)
+    want = model_queries.ml1(spark, SF).join(model_queries.ml2(spark, SF), keys).toPandas().sort_values(keys).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want[got.columns])
+    found = {r["weight"]: r for r in extra_queries.ml6(spark, SF).collect()}
+    assert set(found) == {1, 5, 20, 50, 100} and {r["n"] for r in found.values()} == {len(got)}
