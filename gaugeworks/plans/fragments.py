@@ -42,17 +42,21 @@ buddy AS (SELECT f.*, coalesce(abs(f.temperature_c - nt), 0.0::DOUBLE) AS "delta
   FROM feat f LEFT JOIN near n ON f.station_id = n.station_id AND f.timestamp = n.timestamp)
 """
 COV = """,
-cov AS (SELECT station_id, hour(timestamp) AS hr, count(*) AS n, avg(temperature_c) AS m0, avg(pressure_hpa) AS m1, avg(humidity_pct) AS m2,
+cov AS (SELECT lvl, key, hr, avg(temperature_c) AS m0, avg(pressure_hpa) AS m1, avg(humidity_pct) AS m2,
   covar_samp(temperature_c, temperature_c) + 1e-4::DOUBLE AS a, covar_samp(temperature_c, pressure_hpa) AS b, covar_samp(temperature_c, humidity_pct) AS d,
   covar_samp(pressure_hpa, pressure_hpa) + 1e-4::DOUBLE AS e, covar_samp(pressure_hpa, humidity_pct) AS f, covar_samp(humidity_pct, humidity_pct) + 1e-4::DOUBLE AS i
-  FROM normal GROUP BY station_id, hour(timestamp) HAVING count(*) >= 5),
-inv AS (SELECT *, a * (e * i - f * f) + b * (d * f - b * i) + d * (b * f - d * e) AS det FROM cov)
+  FROM (SELECT 1 AS lvl, station_id AS key, hour(timestamp) AS hr, temperature_c, pressure_hpa, humidity_pct FROM normal
+        UNION ALL SELECT 2, '', hour(timestamp), temperature_c, pressure_hpa, humidity_pct FROM normal
+        UNION ALL SELECT 3, '', -1, temperature_c, pressure_hpa, humidity_pct FROM normal)
+  GROUP BY lvl, key, hr HAVING count(*) >= CASE lvl WHEN 1 THEN 5 ELSE 2 END),
+inv AS (SELECT lvl, key, hr, struct_pack(a := a, b := b, d := d, e := e, f := f, i := i, m0 := m0, m1 := m1, m2 := m2, det := a * (e * i - f * f) + b * (d * f - b * i) + d * (b * f - d * e)) AS s FROM cov)
 """
 DIST = BUDDY + COV + """,
-dist AS (SELECT x.*, sqrt(greatest(0.0::DOUBLE, ((e * i - f * f) * u * u + (a * i - d * d) * v * v + (a * e - b * b) * z * z
-    + 2 * (d * f - b * i) * u * v + 2 * (b * f - d * e) * u * z + 2 * (b * d - a * f) * v * z) / det)) AS mahalanobis_dist
-  FROM (SELECT bu.*, c.a, c.b, c.d, c.e, c.f, c.i, c.det, bu.temperature_c - m0 AS u, bu.pressure_hpa - m1 AS v, bu.humidity_pct - m2 AS z
-        FROM buddy bu LEFT JOIN inv c ON bu.station_id = c.station_id AND hour(bu.timestamp) = c.hr) x)
+dist AS (SELECT x.* EXCLUDE (s), CASE WHEN s IS NULL THEN NULL ELSE sqrt(greatest(0.0::DOUBLE, ((s.e * s.i - s.f * s.f) * u * u + (s.a * s.i - s.d * s.d) * v * v + (s.a * s.e - s.b * s.b) * z * z
+    + 2 * (s.d * s.f - s.b * s.i) * u * v + 2 * (s.b * s.f - s.d * s.e) * u * z + 2 * (s.b * s.d - s.a * s.f) * v * z) / s.det)) END AS mahalanobis_dist
+  FROM (SELECT *, temperature_c - s.m0 AS u, pressure_hpa - s.m1 AS v, humidity_pct - s.m2 AS z
+        FROM (SELECT bu.*, coalesce(c1.s, c2.s, c3.s) AS s FROM buddy bu LEFT JOIN inv c1 ON c1.lvl = 1 AND bu.station_id = c1.key AND hour(bu.timestamp) = c1.hr
+              LEFT JOIN inv c2 ON c2.lvl = 2 AND hour(bu.timestamp) = c2.hr LEFT JOIN inv c3 ON c3.lvl = 3) w) x)
 """
 TIER3 = DIST + """,
 t3 AS (SELECT *, buddy_flagged AND own AS isolated_deviation FROM (SELECT *,
@@ -100,9 +104,10 @@ def buddies(spark, d):
 
 
 def distances(spark, d):
+    """Distances from the (station, hour) with five normal rows or more, else the hour over all stations, else all rows."""
     normal = telemetry(spark, d).where(qc.normal_training()).withColumn("hr", F.hour("timestamp"))
-    model = stats.covariance_model(normal, ["station_id", "hr"])
-    return stats.mahalanobis(buddies(spark, d).withColumn("hr", F.hour("timestamp")), [(model, ["station_id", "hr"])])
+    levels = [(stats.covariance_model(normal, keys, least=least), keys) for keys, least in ((["station_id", "hr"], 5), (["hr"], 2), ([], 2))]
+    return stats.mahalanobis(buddies(spark, d).withColumn("hr", F.hour("timestamp")), levels)
 
 
 def tier3(spark, d):
