@@ -69,3 +69,20 @@ def whole(text_col: str):
 def ascii_lower(col):
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)
+
+
+def row_keys(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with two hash columns over whole rows, and their names: rows that agree in them (128 bits) are repeats of one row."""
+    names = [n + "_" * max(map(len, df.columns)) for n in ("_ka", "_kb")]  # names that no column has
+    cols = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    nulls = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in cols])
+    return df.withColumns({n: F.xxhash64(F.lit(k), nulls, *cols) for k, n in enumerate(names)}), names
+
+
+def without_rows(df: DataFrame, keys: list[str], lost: DataFrame, again: DataFrame) -> DataFrame:
+    """df, which has row_keys `keys`, without the rows of `lost` and with one row for each key of `again`; both are written tables of keys."""
+    drop = lambda some, how: df.join(some.withColumnsRenamed({k: k + "r" for k in keys}), [df[k] == F.col(k + "r") for k in keys], how)
+    out = drop(lost, "left_anti")
+    if not again.isEmpty():
+        out = drop(lost.unionByName(again), "left_anti").unionByName(drop(again, "left_semi").dropDuplicates(keys))
+    return out.drop(*keys)

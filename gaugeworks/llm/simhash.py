@@ -13,9 +13,14 @@ Distinct fingerprints link at `radius` or fewer differing bits; every link is fo
    node's links leave as a star, not as pairs.
 4. Stars are joined into components in the cluster (components.py).
 
+The graph's vertices are the fingerprints, so ids needn't be unique: a component's name is its rows' smallest id.
+
 Defined cases: null and empty texts have fingerprint zero and link like any other; fewer words than a shingle: the whole
-sequence is the one shingle; rows with null id share their fingerprint's component but are nobody's representative; an
-empty table gives an empty result; repeated rows give repeated results; other columns are ignored.
+sequence is the one shingle; rows with null id share their fingerprint's component but are nobody's representative (a
+component of null ids only has null as its name); rows of one id with unlike texts stay in different components; an empty
+table gives an empty result; repeated rows give repeated results; other columns are ignored. keep_one_of_each_group decides
+by row, not by id: of each component exactly one row stays, that with the smallest id (nulls last), of several with that id
+the one with the smallest hash of the whole row; of wholly equal rows any one.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, whole
+from .common import Scratch, documents, row_keys, whole, without_rows
 from .components import components
 from .similar import similar_pairs
 
@@ -55,18 +60,17 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(ones * 2 > len(hashes)).view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, keys: list[str] = ()) -> DataFrame:
+    """doc_id, the columns `keys` and fp (the fingerprint as a signed long)."""
 
     def run(batches):
-        import pandas as pd
-
         for b in batches:
             fp = np.array([fingerprint(t, words) for t in b["_text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+            yield b.drop(columns="_text").assign(fp=fp)
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keys, whole(text_col).alias("_text"))
+    fields = "".join(f"`{n}` {kind}, " for n, kind in rows.dtypes[:-1])
+    return rows.mapInPandas(run, fields + "fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -256,31 +260,47 @@ def near_edges(points: DataFrame, count: int, radius: int = 4, node_limit: int =
 
 
 def simhash_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, node_limit: int = 4096, similarity: float | None = None
-) -> DataFrame:
-    """doc_id, fp and component_id of every row. With `similarity`, verified pairs of that Jaccard similarity link too (similar.py)."""
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, node_limit: int = 4096, similarity: float | None = None, keys: list[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """doc_id, `keys`, fp of every row, and (fp, component), component a fingerprint of the component, of the linked fingerprints.
+
+    With `similarity`, verified pairs of that Jaccard similarity link too (similar.py).
+    """
     scratch = Scratch(docs.sparkSession)
-    prints = scratch.keep(fingerprints(docs, id_col, text_col, words).select(F.col("doc_id").cast("long"), "fp"), "prints")
-    points = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("v")), "points")
-    edges = near_edges(points.where("v is not null"), points.count(), radius, node_limit)
+    prints = scratch.keep(fingerprints(docs, id_col, text_col, words, keys), "prints")
+    points = scratch.keep(prints.select("fp", F.col("fp").alias("v")).distinct(), "points")
+    edges = near_edges(points, points.count(), radius, node_limit)
     if similarity is not None:
-        # A document that isn't its fingerprint's first links to that one, so pairs of documents meet the fingerprints' stars.
-        first = prints.join(points, "fp").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
-        edges = edges.unionByName(first).unionByName(similar_pairs(docs, scratch, id_col, text_col, similarity))
-    linked = components(edges, scratch)
-    named = points.join(linked, points["v"] == linked["node"], "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component", "v").alias("component_id")
-    )
-    return prints.join(named, prints["fp"] == named["_fp"], "left").select("doc_id", "fp", "component_id")
+        edges = edges.unionByName(similar_pairs(docs, scratch, text_col, words, similarity))
+    return prints, scratch.keep(components(edges, scratch).select(F.col("node").alias("_fp"), "component"), "components")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, fp and component_id (the smallest id of the component) of every row."""
+    prints, linked = simhash_groups(docs, id_col, text_col, **options)
+    # Ids are gathered by fingerprint first: two small aggregates, and one join of the rows.
+    points = prints.groupBy("fp").agg(F.min("doc_id").alias("v"))
+    named = points.join(linked, points["fp"] == linked["_fp"], "left").select(F.col("fp").alias("_fp"), "v", F.coalesce("component", "fp").alias("_c"))
+    named = Scratch(docs.sparkSession).keep(named, "named")
+    least = named.groupBy("_c").agg(F.min("v").alias("component_id"))
+    ids = named.join(least, "_c").select("_fp", "component_id")
+    return prints.join(ids, prints["fp"] == ids["_fp"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, similarity: float | None = 0.8) -> DataFrame:
-    """docs without the rows that aren't their component's representative (the smallest id); all columns stay."""
-    groups = simhash_groups(docs, id_col, text_col, words, radius, similarity=similarity)
-    lost = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
+    """docs with one row of each component, the one with the smallest id; all columns stay."""
+    keyed, keys = row_keys(docs)
+    scratch = Scratch(docs.sparkSession)
+    prints, linked = simhash_groups(keyed, id_col, text_col, words, radius, similarity=similarity, keys=keys)
+    rows = prints.join(linked, prints["fp"] == linked["_fp"], "left").select(
+        F.coalesce("component", "fp").alias("_c"), F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", *keys).alias("_row")
+    )
+    rows = scratch.keep(rows.groupBy("_c", "_row").agg(F.count(F.lit(1)).alias("_n")), "rows")
+    best = scratch.keep(rows.groupBy("_c").agg(F.min("_row").alias("_best"), F.sum("_n").alias("_all")).where("_all > 1").select("_c", "_best"), "best")
+    members = scratch.keep(rows.join(best, "_c").select(*[F.col(f"_row.{k}").alias(k) for k in keys], "_n", (F.col("_row") == F.col("_best")).alias("_wins")), "members")
+    return without_rows(keyed, keys, members.where("not _wins").select(*keys), members.where("_wins and _n > 1").select(*keys))
 
 
 def op3_simhash_neardup(spark, sf_dir):
-    found = simhash_groups(documents(spark, sf_dir))
+    found = near_groups(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -2,7 +2,7 @@
 
 SimHash fingerprints within a few bits mean nearly equal texts; documents that share four fifths of their shingles differ
 in about ten bits, too many for an exact index. So candidates come from min-hashes: `bands` keys of `rows` minima each, and
-every document is first paired with the first one of its key (a star). What the verified stars leave unlinked is compared in
+every text is first paired with the first one of its key (a star). What the verified stars leave unlinked is compared in
 full: of every key, all pairs of documents that are not in one component yet. Pairs are verified on the shingles themselves.
 At similarity 0.8 a pair shares one of 8 keys of 4 minima with probability 0.985, at 0.9 with 0.9998.
 """
@@ -69,19 +69,27 @@ def _unsettled(keys: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame
     return pairs.select(F.greatest("doc", "o").alias("u"), F.least("doc", "o").alias("v"), F.when(F.col("doc") > F.col("o"), F.col("n")).otherwise(F.col("no")).alias("nu"), F.when(F.col("doc") > F.col("o"), F.col("no")).otherwise(F.col("n")).alias("nv"))
 
 
-def similar_pairs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 8, per_band: int = 4) -> DataFrame:
-    """(u, v): verified pairs, enough of them that any two similar documents that share a key are in one component. Ids are taken to be unique."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), whole(text_col).alias("_text"))
-    keys = scratch.keep(band_keys(rows, bands, per_band), "keys")
+def similar_pairs(docs: DataFrame, scratch: Scratch, text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 8, per_band: int = 4) -> DataFrame:
+    """(u, v): fingerprints of verified pairs, enough of them that any two similar texts that share a key are in one component.
+
+    A text is known by its hash; should two texts have one hash, both are compared wherever one would be.
+    """
+    rows = docs.select(F.xxhash64(whole(text_col)).alias("doc"), whole(text_col).alias("_text"))
+    keys = scratch.keep(band_keys(rows, bands, per_band).distinct(), "keys")
     first = scratch.keep(keys.groupBy("key").agg(F.min("doc").alias("v"), F.max("doc").alias("_m")).where("v <> _m").select("key", "v"), "first")
     pairs = scratch.keep(keys.join(first, "key").where("doc <> v").select(F.col("doc").alias("u"), "v").distinct(), "pairs")
     needed = scratch.keep(pairs.select(F.col("u").alias("doc")).unionByName(pairs.select(F.col("v").alias("doc"))).distinct(), "needed")
 
     def shingles(batches):
+        from .simhash import fingerprint
+
         for b in batches:
-            yield pd.DataFrame({"doc": b["doc"], "x": [np.unique(Tokens.of(t)).tobytes() for t in b["_text"]]})
+            fp = np.array([fingerprint(t, words) for t in b["_text"]], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc": b["doc"], "fp": fp, "x": [np.unique(Tokens.of(t)).tobytes() for t in b["_text"]]})
 
-    sets = scratch.keep(needed.join(rows, "doc").mapInPandas(shingles, "doc long, x binary"), "sets")
+    # Repeats of a text are one row from here on.
+    texts = needed.join(rows, "doc").groupBy("doc", F.xxhash64(F.lit(1), "_text").alias("_h")).agg(F.first("_text").alias("_text"))
+    sets = scratch.keep(texts.select("doc", "_text").mapInPandas(shingles, "doc long, fp long, x binary"), "sets")
 
     def verify(batches):
         for b in batches:
@@ -90,13 +98,17 @@ def similar_pairs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 same = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(same >= similarity * (len(p) + len(q) - same) - 1e-9)
-            yield b.loc[keep, ["u", "v"]]
+            yield b.loc[keep, ["u", "v", "fu", "fv"]]
 
     def verified(some):
-        both = some.join(sets.select(F.col("doc").alias("u"), "x"), "u").join(sets.select(F.col("doc").alias("v"), F.col("x").alias("y")), "v")
-        return scratch.keep(both.select("u", "v", "x", "y").mapInPandas(verify, "u long, v long"), "links")
+        left = sets.select(F.col("doc").alias("u"), F.col("fp").alias("fu"), "x")
+        right = sets.select(F.col("doc").alias("v"), F.col("fp").alias("fv"), F.col("x").alias("y"))
+        both = some.join(left, "u").join(right, "v").select("u", "v", "fu", "fv", "x", "y")
+        return scratch.keep(both.mapInPandas(verify, "u long, v long, fu long, fv long"), "links")
 
     links = verified(pairs)
     # Sets whose sizes differ by more than the bound can't be similar; the stars' pairs are settled.
-    rest = _unsettled(keys, links, scratch).where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9).select("u", "v").distinct()
-    return links.unionByName(verified(scratch.keep(rest.join(pairs, ["u", "v"], "left_anti"), "rest")))
+    rest = _unsettled(keys, links.select("u", "v"), scratch).where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9).select("u", "v").distinct()
+    settled = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    links = links.unionByName(verified(scratch.keep(rest.join(settled, ["u", "v"], "left_anti"), "rest")))
+    return links.select(F.col("fu").alias("u"), F.col("fv").alias("v"))

@@ -62,7 +62,7 @@ def fingerprint(text, k=4):
 
 
 def test_simhash(spark, awkward):
-    from gaugeworks.llm.simhash import keep_one_of_each_group, op3_simhash_neardup, simhash_groups  # noqa: F401
+    from gaugeworks.llm.simhash import keep_one_of_each_group, near_groups
 
     rng = random.Random(5)
     texts = list(awkward)
@@ -85,14 +85,14 @@ def test_simhash(spark, awkward):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     for limit in (4096, 2):
-        got = rows_of(simhash_groups(table(spark, texts), node_limit=limit))
+        got = rows_of(near_groups(table(spark, texts), node_limit=limit))
         assert {i: (r["fp"] % 2**64, r["component_id"]) for i, r in got.items()} == {i: (fps[i], root(i)) for i in range(len(texts))}
     docs = table(spark, texts)
     kept = keep_one_of_each_group(docs, words=4, similarity=None)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({root(i) for i in range(len(texts))}) and kept.columns == docs.columns
     twice = table(spark, ["", None, "x y"], [None, 7, 7])
-    assert {(r["doc_id"], r["component_id"]) for r in simhash_groups(twice).collect()} == {(None, 7), (7, 7)}
-    assert simhash_groups(docs.limit(0)).count() == 0
+    assert {(r["doc_id"], r["component_id"]) for r in near_groups(twice).collect()} == {(None, 7), (7, 7)}
+    assert near_groups(docs.limit(0)).count() == 0
 
 
 def test_similar_texts_keep_one(spark, awkward):
@@ -493,9 +493,13 @@ def test_template_family_keeps_no_similar_pair_of_a_key(spark):
     for r in band_keys(docs.select(docs.doc_id.alias("doc"), whole("text").alias("_text")), 8, 4).collect():
         held[r["doc"]].add(r["key"])
     want = {(i, j) for i, j in similar_links(texts) if held[i] & held[j]}
-    found = similar_pairs(docs, scratch)
-    assert {(r["u"], r["v"]) for r in found.collect()} <= want
-    got = {r["node"]: r["component"] for r in components(found, scratch).collect()}
+    from gaugeworks.llm.simhash import fingerprint
+
+    own = {np.uint64(fingerprint(t, 5)).astype(np.int64).item(): i for i, t in enumerate(texts)}
+    assert len(own) == len(texts)
+    found = similar_pairs(docs, scratch)  # links of fingerprints, here one a document
+    assert {(max(own[r["u"]], own[r["v"]]), min(own[r["u"]], own[r["v"]])) for r in found.collect()} <= want
+    got = {own[r["node"]]: r["component"] for r in components(found, scratch).collect()}
     assert len(want) > 50 and all(i in got and j in got and got[i] == got[j] for i, j in want)
 
 
@@ -529,3 +533,29 @@ def test_verbatim_passage_after_a_variant(spark):
         texts += [" ".join([sentence(rng, 30), variant, sentence(rng, 600), passage, sentence(rng, 30)]), " ".join([sentence(rng, 40), passage, sentence(rng, 40)])]
     got = {(r["doc_id"], r["class_id"]) for r in repeated_passages(table(spark, texts)).collect()}
     assert got == {(i, i // 2 * 2) for i in range(16)}
+
+
+def whole_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_dedup_stages_decide_by_row(spark):
+    """Repeated ids, repeated rows and null ids: one row of each group stays, and no other text is lost."""
+    from gaugeworks.llm.exact_dedup import drop_exact_duplicates
+    from gaugeworks.llm.simhash import keep_one_of_each_group
+
+    rng = random.Random(8)
+    a, b, c, d, e = (sentence(rng, 60) for _ in range(5))
+    rows = [(5, a), (9, a.upper()), (5, b), (20, c), (20, c), (20, c), (None, d), (None, d), (None, e), (3, e), (None, None), (None, ""), (7, "q r s"), (7, "t u v")]
+    docs = table(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    low = lambda t: (t or "").lower()
+    got = sorted(((r["doc_id"], low(r["text"])) for r in kept.collect()), key=str)
+    assert got == sorted([(9, a), (5, b), (20, c), (None, d), (3, e), (None, ""), (7, "q r s"), (7, "t u v")], key=str)
+    got = sorted(((r["doc_id"], low(r["text"])) for r in keep_one_of_each_group(docs).collect()), key=str)
+    assert got == sorted([(5, a), (5, b), (20, c), (None, d), (3, e), (None, ""), (7, "q r s"), (7, "t u v")], key=str)
+    for stage in (drop_exact_duplicates, keep_one_of_each_group):
+        assert stage(docs.limit(0)).count() == 0
+        once = stage(docs)
+        assert whole_rows(stage(once)) == whole_rows(once)
