@@ -5,10 +5,13 @@ pass); the pieces it returns give code point positions. Strong kinds (assign, ac
 always. Weak parts - long mixed runs, endpoints and named identifiers - are interval-joined with the parts
 within `scope` code points of them in the same document, and reported only when the complementary parts
 are there: a secret next to an access identifier, an endpoint next to an identifier and a secret, an
-identifier next to a secret. The join is inside a row, so nothing is shuffled.
+identifier next to a secret. The join is inside a row, so nothing is shuffled: intervals and askers are sorted on one axis and
+swept once with a running maximum. Running sums and maxima go by blocks of the square root of the count, so a text with n
+spans takes about n ** 1.5 steps; patterns of runs only start where a run does, so that long runs are read once.
 
-Defined cases: null and empty texts have no spans; an empty table gives an empty result; repeated rows give
-repeated results; other columns are ignored.
+Defined cases: null and empty texts have no spans; very long texts and single runs of megabytes are scanned whole, in about
+linear time; an empty table gives an empty result; repeated rows and null ids give results of their own; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ ASSIGN = r"(?i:(?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 # Weak parts.
-RUN = r"[A-Za-z0-9+/]{32,}"
-ENDPOINT = r"(?:https?://|s3://)[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+|[a-z0-9.-]+\.amazonaws\.com"
+RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}"
+ENDPOINT = r"(?:https?://|s3://)[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+|(?<![a-z0-9.-])[a-z0-9.-]+\.amazonaws\.com"
 IDENTIFIER = r"(?i:(?:client|account|access|user)[_-]?(?:id|name|key))[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{4,}"
 
 SPAN = "struct<start:int,rank:int,kind:string,stop:int,size:int>"
@@ -36,29 +39,58 @@ def mixed_size(match):
     return F.when(match.rlike("[0-9]") & match.rlike("[A-Za-z]"), F.char_length(match)).otherwise(0)
 
 
+def _let(value, body):
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(items):
+    """items cut into runs of about the square root of their number."""
+    return _let(F.struct(items.alias("x"), F.ceil(F.sqrt(F.greatest(F.size(items), F.lit(1)))).cast("int").alias("b")), lambda s: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.floor((F.size(s["x"]) - 1) / s["b"]).cast("int"), F.lit(0))), lambda k: F.slice(s["x"], k * s["b"] + 1, s["b"])
+    ))
+
+
+def _stops(sizes):
+    """Running sums of an array of numbers."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
+    inner = lambda block, base: F.aggregate(block, F.struct(base.alias("at"), F.array().cast("array<int>").alias("out")), lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["out"], F.array(a["at"] + v)).alias("out")), lambda a: a["out"])
+    return _let(_blocks(sizes), lambda blocks: F.flatten(F.zip_with(blocks, inner(F.concat(F.array(F.lit(0)), F.transform(blocks, total)), F.lit(0)), lambda block, base: F.when(block.isNotNull(), inner(block, base)).otherwise(F.array().cast("array<int>")))))
+
+
 def spans_of(text, kind: str, pattern: str, size_group: int = 0, size=F.char_length):
     """array<SPAN> of the leftmost non-overlapping matches; size: by default the code points of the group asked for."""
-    none = F.array().cast(f"array<{SPAN}>")
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s)\G.*?(?:{pattern})"), F.lit(0))
 
-    def step(acc, piece):
-        stop = acc["pos"] + F.char_length(piece)
-        span = F.struct(
+    def span(piece, stop):
+        return F.struct(
             (stop - F.char_length(F.regexp_extract(piece, pattern, 0))).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"),
             stop.alias("stop"), size(F.regexp_extract(piece, pattern, size_group)).alias("size"),
         ).cast(SPAN)
-        return F.struct(stop.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(none)
+    found = _let(pieces, lambda p: F.zip_with(p, _stops(F.transform(p, F.char_length)), span))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def _near(spans, one, scope: int):
-    return F.exists(spans, lambda x: (x["stop"] >= one["start"] - scope) & (x["start"] <= one["stop"] + scope))
+def _met(askers, spans, reach: int, met: bool = True):
+    """askers (array<SPAN>) that some span meets within `reach` (or, not `met`, none does): it starts at the asker's stop + reach or before, and stops at its start - reach or later.
 
+    A sweep: spans by their start and askers by the last start they accept, in one order; the largest stop so far tells.
+    """
+    event = lambda at, ask, stop, x: F.struct(at.alias("at"), F.lit(ask).alias("ask"), stop.alias("stop"), x.alias("x"))
+    none = F.lit(None).cast(SPAN)
+    events = F.sort_array(F.concat(F.transform(spans, lambda s: event(s["start"], 0, s["stop"], none)), F.transform(askers, lambda x: event(x["stop"] + reach, 1, x["start"] - reach, x))))
+    most = lambda block: F.aggregate(block, F.lit(-(1 << 30)), lambda a, e: F.when(e["ask"] == 0, F.greatest(a, e["stop"])).otherwise(a))
+    hit = lambda block, e, before: (before >= e["stop"]) | F.exists(block, lambda o: (o["ask"] == 0) & (o["at"] <= e["at"]) & (o["stop"] >= e["stop"]))
+    chosen = lambda block, before: F.filter(block, lambda e: (e["ask"] == 1) & (hit(block, e, before) if met else ~hit(block, e, before)))
 
-def _apart(spans, one):
-    return ~F.exists(spans, lambda x: (x["stop"] > one["start"]) & (x["start"] < one["stop"]))
+    def swept(blocks):
+        tops = F.transform(blocks, most)
+        before = _let(tops, lambda t: F.transform(t, lambda _, k: F.coalesce(F.array_max(F.slice(t, 1, k)), F.lit(-(1 << 30)))))
+        return F.transform(F.flatten(F.zip_with(blocks, before, chosen)), lambda e: e["x"])
+
+    alone = F.array().cast(f"array<{SPAN}>") if met else askers
+    return F.when((F.size(askers) > 0) & (F.size(spans) > 0), _let(_blocks(events), swept)).otherwise(alone)
 
 
 def _text_of(spans):
@@ -79,16 +111,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     weak = lambda name: F.coalesce(F.col("_weak")[name], none)
     based = found.withColumn("base", F.concat("_assign", "_access", "_hex"))
     free = based.withColumns({
-        "_run": F.filter(weak("run"), lambda x: (x["size"] > 0) & _apart(F.col("base"), x)),
-        "_end": weak("end"), "_who": F.filter(weak("who"), lambda x: _apart(F.col("base"), x)),
+        "_run": _met(F.filter(weak("run"), lambda x: x["size"] > 0), F.col("base"), -1, met=False), "_end": weak("end"), "_who": _met(weak("who"), F.col("base"), -1, met=False),
     })
     who = F.concat("_access", "_who")
     key = F.concat("_assign", "_hex", "_run")
-    linked = F.concat(
-        F.filter("_run", lambda x: _near(who, x, scope)),
-        F.filter("_end", lambda x: _near(who, x, scope) & _near(key, x, scope)),
-        F.filter("_who", lambda x: _near(key, x, scope)),
-    )
+    linked = F.concat(_met(F.col("_run"), who, scope), _met(_met(F.col("_end"), who, scope), key, scope), _met(F.col("_who"), key, scope))
     return free.select("doc_id", "_assign", "_access", "_hex", "base", linked.alias("linked"))
 
 
