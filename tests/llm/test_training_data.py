@@ -611,3 +611,72 @@ def test_secrets_with_null_ids_and_repeats(spark):
     docs = table(spark, ["0123456789abcdef"] * 2 + [None, ""], [None, 4, None, 4])
     assert sorted(((r["doc_id"], len(r["base"])) for r in scan_secrets(docs).collect()), key=str) == sorted([(None, 1), (4, 1), (None, 0), (4, 0)], key=str)
     assert scan_secrets(docs.limit(0)).count() == 0
+
+
+def edited(words, kind, k, rng):
+    out = list(words)
+    for at in sorted(rng.sample(range(8, len(words) - 8), k), reverse=True):
+        if kind == "replaced":
+            out[at] = "zz" + str(rng.random())
+        elif kind == "inserted":
+            out.insert(at, "zz" + str(rng.random()))
+        else:
+            del out[at]
+    return out
+
+
+def stretches_by_brute_force(x, y, words=50, similarity=0.8):
+    """Maximal stretches of words of x whose passages have a similar enough one in y."""
+    tokens = lambda z: [tuple(z[i : i + 5]) for i in range(len(z) - 4)]
+    t = words - 4
+    passages = lambda z: [set(z[i : i + t]) for i in range(len(z) - t + 1)]
+    p, q = passages(tokens(x)), passages(tokens(y))
+    on = [any(len(a & b) >= similarity * len(a | b) for b in q) for a in p]
+    out = []
+    for i, hit in enumerate(on):
+        if hit and out and i <= out[-1][1]:
+            out[-1][1] = i + words
+        elif hit:
+            out.append([i, i + words])
+    return [tuple(r) for r in out]
+
+
+def test_passages_against_brute_force(spark):
+    """Start, stop, class and links of planted passages: edited ones are found nearly always, verbatim ones always."""
+    from gaugeworks.llm.passages import repeated_passages
+
+    rng = random.Random(77)
+    texts, kinds = [], []
+    plan = [("replaced", 50, 1), ("inserted", 50, 1), ("deleted", 51, 1), ("verbatim", 50, 0), ("verbatim", 75, 0), ("replaced", 100, 2), ("inserted", 100, 2), ("deleted", 102, 2)]
+    for kind, size, k in plan:
+        for _ in range(40):
+            passage = sentence(rng, size).split()
+            other = edited(passage, kind, k, rng) if k else passage
+            for body in (passage, other):
+                texts.append(sentence(rng, rng.randint(5, 30)).split() + body + sentence(rng, rng.randint(5, 30)).split())
+            kinds.append((kind, size))
+    # A line repeated many times before the passage.
+    for _ in range(10):
+        line, passage = sentence(rng, 9).split(), sentence(rng, 60).split()
+        texts += [line * 12 + passage + sentence(rng, 20).split(), sentence(rng, 25).split() + line * 5 + passage]
+        kinds.append(("verbatim", 60))
+    got = collections.defaultdict(list)
+    for r in repeated_passages(table(spark, [" ".join(x) for x in texts])).collect():
+        got[r["doc_id"]].append((r["start"], r["stop"]))
+        assert (r["class_id"], r["n_links"]) == (r["doc_id"] // 2 * 2, 1)
+    found, there, exact = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, kind in enumerate(kinds):
+        x, y = texts[2 * i], texts[2 * i + 1]
+        want = stretches_by_brute_force(x, y), stretches_by_brute_force(y, x)
+        have = sorted(got[2 * i]), sorted(got[2 * i + 1])
+        if not want[0]:
+            assert have == ([], [])
+            continue
+        there[kind] += 1
+        found[kind] += bool(have[0])
+        exact[kind] += have == want
+    print({k: (found[k], exact[k], n) for k, n in there.items()})
+    for kind, n in there.items():
+        assert n >= 5 and found[kind] >= (n if kind[0] == "verbatim" else 0.9 * n), (kind, found[kind], n)
+        assert exact[kind] >= 0.9 * found[kind]
+
