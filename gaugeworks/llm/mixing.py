@@ -2,16 +2,18 @@
 
 A classifier fitted on the labelled table gives every document a posterior over domains; its words are its tokens.
 Distributed projected gradient fits a rate >= 0 for every document, so that the expected tokens of each domain,
-sum of rate x tokens x posterior, meet targets in the least-squares sense, starting from rate 1 for all (with max_rate, the
-projection also holds rates at that). A round
-sums one number a domain; a document's rate is replayed from the rounds' gradients, so nothing but a number a domain
-and round reaches the driver, and the step is scaled by tokens, which makes it safe at any size.
+sum of rate x tokens x posterior, meet targets in the least-squares sense, each domain's gap measured against its own tokens
+(a small domain's target counts as much as a large one's), starting from rate 1 for all (with max_rate, the projection also
+holds rates at that). Measured so, and with steps scaled by a document's tokens, the curvature is 1 at most at any size,
+so every step is a plain one of length 1. A round sums one number a domain; a document's rate is replayed from the
+rounds' gradients, so nothing but a number a domain and round reaches the driver. Rounds end when every gap is within
+`tolerance` of its target, when they stop gaining, or after `rounds`; mixture_report shows what is reached.
 
 Targets: weights of the domains, of as many tokens as leave the anchor domain at its own; documents of a domain that has
 less than its weight asks for get rates over 1. Only with max_rate is a target held at max_rate times what the domain has.
 A domain without any label keeps what it has.
 
-The classifier is Bernoulli naive Bayes over telling hashed words, on at most `sample` labelled rows (least hashes). Labels repeat or clash:
+The classifier is naive Bayes over telling hashed words, on at most `sample` labelled rows (least hashes). Labels repeat or clash:
 the greatest (toxic, -quality) of a document counts.
 
 Defined cases: null and empty texts have no tokens, the prior as posterior, and the rate that this gives; labels with null
@@ -45,38 +47,39 @@ def _slot(word: str) -> int:
 
 
 class Bayes:
-    """Bernoulli naive Bayes over telling slots: present and absent words count, words as common in every domain don't.
+    """Naive Bayes over the telling slots that a text holds; words as common in every domain, and absent ones, don't count.
 
-    A slot is telling if the share of a domain's documents that hold it is `lift` times the first domain's, and at least `least` documents and three in a hundred of some domain hold it.
+    A slot is telling if the share of a domain's documents that hold it is `lift` times the first domain's, or the first's is
+    `lift` times the domain's, and at least `least` documents and three in a hundred of some domain hold it.
     """
 
     def __init__(self, counts: np.ndarray, docs: np.ndarray, lift: float = 4.0, least: int = 8):
         self.docs = docs
         share = (counts + 0.5) / (docs[:, None] + 1)
-        far = share >= lift * share[:1]
+        far = (share >= lift * share[:1]) | (lift * share <= share[:1])
         known = (counts >= np.maximum(least, docs[:, None] * 0.03)).any(0)
         telling = np.flatnonzero(far.any(0) & known)
         share = share[:, telling]
-        self.base = np.log((docs + 0.5) / (docs + 0.5).sum()) + np.log1p(-share).sum(1)
-        self.gain = dict(zip(telling.tolist(), (np.log(share) - np.log1p(-share)).T))
+        self.base = np.log((docs + 0.5) / (docs + 0.5).sum())
+        self.gain = np.log(share).T
+        self.place = {s: k for k, s in enumerate(telling.tolist())}
         self.memo: dict | None = None
 
     def posterior(self, words: list[str]) -> np.ndarray:
         if self.memo is None:
-            gain = self.gain
+            place = self.place
 
             class Memo(dict):
                 def __missing__(self, word):
                     if len(self) > 150_000:
                         self.clear()
-                    slot = _slot(word)
-                    self[word] = found = slot if slot in gain else -1
+                    self[word] = found = place.get(_slot(word), -1)
                     return found
 
             self.memo = Memo()
         at = set(map(self.memo.__getitem__, words))
         at.discard(-1)
-        z = sum((self.gain[k] for k in sorted(at)), self.base)
+        z = self.base + self.gain[sorted(at)].sum(0) if at else self.base
         p = np.exp(z - z.max())
         return p / p.sum()
 
@@ -135,40 +138,37 @@ def _rate(steps: list[np.ndarray], most: float | None = None):
     return F.aggregate(rounds, rate, lambda r, g: bound(F.greatest(F.lit(0.0), r - sum((p[k] * g[k] for k in range(1, len(p))), p[0] * g[0]))))
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, moments: np.ndarray, total: float, rounds: int = 40, most: float | None = None, tolerance: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray]:
-    """Gradients (already times the step) of each round, and the expected tokens reached. members: memberships().
+def fit_rates(members: DataFrame, targets: np.ndarray, have: np.ndarray, rounds: int = 200, most: float | None = None, tolerance: float = 1e-3) -> tuple[list[np.ndarray], np.ndarray]:
+    """Gradients of each round, and the expected tokens reached. members: memberships(); have: its tokens by domain.
 
-    moments: sum of tokens x p_j x p_k over all documents, divided by the total: the curvature in the scaled metric.
+    Minimises the sum over domains of (reached - target)^2 / have. In a document's own tokens as unit, its gradient is the
+    sum over domains of posterior x gap / have, and the greatest curvature is 1.
     """
-    step = 1.0 / max(float(np.linalg.eigvalsh(moments).max()), 1e-12)
     sums = [F.sum(F.col("_r") * F.col("tokens") * F.col(f"p{k}")).alias(f"s{k}") for k in range(len(DOMAINS))]
+    scale = np.maximum(have, 1e-300)
     steps: list[np.ndarray] = []
-    before = None
+    before = first = None
     while True:
         reached = np.array([x or 0.0 for x in members.withColumn("_r", _rate(steps, most)).agg(*sums).first()])
-        gap = (reached - targets) / total
-        still = before is not None and np.linalg.norm(gap) > 0.99 * np.linalg.norm(before)
-        if len(steps) >= rounds or np.abs(gap).max() <= tolerance or still:
+        gap = reached - targets
+        loss = float((gap**2 / scale).sum())
+        first = loss if first is None else first
+        done = (np.abs(gap) <= tolerance * np.maximum(targets, tolerance * have)).all() or (before is not None and before - loss <= 1e-9 * first)
+        if len(steps) >= rounds or done:
             return steps, reached
-        before = gap
-        # Newton in the domains' space where rates are free; the projection at zero makes it the scaled projected gradient.
-        newton = np.linalg.solve(moments + 1e-6 * np.eye(len(gap)), gap)
-        steps.append(newton if len(steps) < rounds // 2 else step * gap)
+        before = loss
+        steps.append(gap / scale)
 
 
-def fit_mixture(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict | None = None, anchor: str = "clean", rounds: int = 40, max_rate: float | None = None):
-    """(classifier, gradients of the rounds, memberships table)."""
+def fit_mixture(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict | None = None, anchor: str = "clean", rounds: int = 200, max_rate: float | None = None):
+    """(classifier, gradients of the rounds, memberships table, tokens by domain: had, wanted, reached)."""
     scratch = Scratch(docs.sparkSession)
     model = fit_domains(docs, labels, id_col, text_col)
     members = scratch.keep(memberships(docs, model, id_col, text_col), "members")
-    k = range(len(DOMAINS))
-    tok = F.col("tokens")
-    facts = members.agg(F.sum(tok), *[F.sum(tok * F.col(f"p{i}")) for i in k], *[F.sum(tok * F.col(f"p{i}") * F.col(f"p{j}")) for i in k for j in k]).first()
-    total = float(facts[0] or 0)
-    if not total:
-        return model, [], members
-    have = np.array([float(x) for x in facts[1 : 1 + len(DOMAINS)]])
-    moments = np.array([float(x) for x in facts[1 + len(DOMAINS) :]]).reshape(len(DOMAINS), -1) / total
+    facts = members.agg(*[F.sum(F.col("tokens") * F.col(f"p{i}")) for i in range(len(DOMAINS))]).first()
+    have = np.array([float(x or 0) for x in facts])
+    if not have.sum():
+        return model, [], members, (have, have, have)
     weight = np.array([(weights or WEIGHTS)[d] for d in DOMAINS])
     lead = DOMAINS.index(anchor)
     targets = have[lead] * weight / weight[lead]
@@ -176,12 +176,22 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         targets = np.minimum(have * max_rate, targets)
     # Nothing tells the documents of a domain without labels apart.
     targets = np.where(model.docs > 0, targets, have)
-    return model, fit_rates(members, targets, moments, total, rounds, max_rate)[0], members
+    steps, reached = fit_rates(members, targets, have, rounds, max_rate)
+    return model, steps, members, (have, targets, reached)
+
+
+def mixture_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """A row a domain: expected tokens before, target, expected tokens at the fitted rates, and those of the copies dealt."""
+    _, steps, members, (have, targets, reached) = fit_mixture(docs, labels, id_col, text_col, **options)
+    copies = copies_of(F.col("doc_id"), _rate(steps, options.get("max_rate")))
+    dealt = members.agg(*[F.sum(copies * F.col("tokens") * F.col(f"p{k}")) for k in range(len(DOMAINS))]).first()
+    rows = [(d, float(have[k]), float(targets[k]), float(reached[k]), float(dealt[k] or 0)) for k, d in enumerate(DOMAINS)]
+    return docs.sparkSession.createDataFrame(rows, "domain string, tokens double, target double, expected double, dealt double")
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, tokens, p0.., rate of every document."""
-    _, steps, members = fit_mixture(docs, labels, id_col, text_col, **options)
+    _, steps, members, _ = fit_mixture(docs, labels, id_col, text_col, **options)
     return members.withColumn("rate", _rate(steps, options.get("max_rate")))
 
 
@@ -194,7 +204,7 @@ def copies_of(id_col, rate):
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs as the rates deal them: rows left out, kept or repeated, in place, without a shuffle."""
 
-    model, steps, _ = fit_mixture(docs, labels, id_col, text_col, **options)
+    model, steps, _, _ = fit_mixture(docs, labels, id_col, text_col, **options)
     most = options.get("max_rate")
 
     @F.pandas_udf("double")

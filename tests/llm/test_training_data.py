@@ -680,3 +680,37 @@ def test_passages_against_brute_force(spark):
         assert n >= 5 and found[kind] >= (n if kind[0] == "verbatim" else 0.9 * n), (kind, found[kind], n)
         assert exact[kind] >= 0.9 * found[kind]
 
+
+def test_rates_against_brute_force_least_squares(spark):
+    """The distributed rounds reach the loss that many rounds of plain coordinate descent reach."""
+    from gaugeworks.llm.mixing import fit_rates, mixture_report, _rate
+
+    rng = np.random.default_rng(6)
+    n = 60
+    p = rng.dirichlet([0.4, 0.4, 0.4], n)
+    tokens = rng.integers(0, 300, n)
+    members = spark.createDataFrame([(i, int(tokens[i]), *map(float, p[i])) for i in range(n)], "doc_id long, tokens long, p0 double, p1 double, p2 double")
+    have = tokens @ p
+    for most, factor in ((None, [1.0, 0.3, 2.0]), (1.0, [1.0, 0.2, 0.6]), (2.5, [3.0, 0.1, 1.0])):
+        targets = have * factor
+        steps, reached = fit_rates(members, targets, have, most=most)
+        rate = np.ones(n)
+        for _ in range(4000):
+            for i in range(n):
+                if tokens[i]:
+                    gap = (rate * tokens) @ p - targets
+                    slope, bend = tokens[i] * (p[i] * gap / have).sum(), tokens[i] ** 2 * (p[i] ** 2 / have).sum()
+                    rate[i] = np.clip(rate[i] - slope / bend, 0, most)
+            if np.abs((rate * tokens) @ p - targets).max() < 1e-9:
+                break
+            if _ > 150 and _ % 50 == 0 and np.abs(rate - seen).max() < 1e-9:
+                break
+            seen = rate.copy()
+        loss = lambda x: (((x - targets) ** 2) / have).sum() / have.sum()
+        assert loss(reached) <= 1.001 * loss((rate * tokens) @ p) + 1e-5, (most, factor)
+        got = np.array([r["rate"] for r in members.withColumn("rate", _rate(steps, most)).orderBy("doc_id").collect()])
+        assert (got >= 0).all() and (most is None or (got <= most).all()) and np.allclose((got * tokens) @ p, reached)
+    docs, labels, _ = mixture(spark, random.Random(40), 2000, 0.2, 0.1)
+    for r in mixture_report(docs, labels).collect():
+        assert abs(r["expected"] - r["target"]) <= 1.1e-3 * r["target"] and abs(r["dealt"] - r["target"]) <= 0.25 * r["target"]
+
