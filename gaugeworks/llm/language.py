@@ -5,7 +5,8 @@ sequences, damped and weighted by inverse document frequency, make a unit vector
 language's training vectors into `clusters` centroids; a text gets the language of the nearest centroid by cosine. A text
 further from it than nearly all (`tail`) of that language's training texts is marked rejected.
 
-The classifier is fitted on a bounded sample: the `sample` training rows with the least hash of id and text.
+The classifier is fitted on a bounded sample: of each language the training rows with the least hash of id and text, at most
+`sample` of a language and `total` in all, the same number for each; so a rare language is learned from all its rows.
 
 Defined cases: null texts and texts without letters are `und` with score 0; so is everything where nothing could be learned;
 rows with null language are never learned from; repeated rows give repeated results; other columns are ignored.
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, whole
@@ -106,22 +107,29 @@ class Model:
         return out
 
 
-def fit_language(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 3, sample: int = 3000, tail: float = 0.005) -> Model:
+def fit_language(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 3, sample: int = 750, total: int = 6000, tail: float = 0.005) -> Model:
     """rows: training rows only."""
 
     usable = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")
     )
-    total = usable.count()
+    counts = usable.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    langs = counts.count()
+    each = max(1, min(sample, total // max(langs, 1)))
+    # Rows under a hash bound that about four times the sample of their language meets (all, if fewer), then the least hashes of them.
+    bound = F.when(F.col("_n") > 8 * each, F.lit(4.0 * each) / F.col("_n")).otherwise(1.0)
+    counts = counts.select(F.col("_lang").alias("_l"), bound.alias("_bound"))
+    share = (F.col("_h").cast("double") + 2.0**63) / 2.0**64
 
     def describe(batches):
         for b in batches:
             made = [(h, lang, c) for h, lang, t in zip(b["_h"], b["_lang"], b["_text"]) if (c := Grams.counts(t)) is not None]
             yield pd.DataFrame({"_h": [m[0] for m in made], "lang": [m[1] for m in made], "x": [np.minimum(m[2], 60000).astype(np.uint16).tobytes() for m in made]}).astype({"_h": "int64"})
 
-    if total > 4 * sample:
-        usable = usable.where(F.col("_h") < int(-(2**63) + 2**64 * (2 * sample / total)))
-    taken = usable.mapInPandas(describe, "_h long, lang string, x binary").orderBy("_h", "lang").limit(sample).toPandas()
+    counts = F.broadcast(counts) if langs <= 10_000 else counts
+    usable = usable.join(counts, F.col("_lang") == F.col("_l")).where(share <= F.col("_bound")).select("_h", "_text", "_lang")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    taken = usable.mapInPandas(describe, "_h long, lang string, x binary").withColumn("_k", place).where(F.col("_k") <= each).limit(total + langs).orderBy("_h", "lang").toPandas()
     x = np.stack([np.frombuffer(b, np.uint16) for b in taken["x"]]) if len(taken) else np.zeros((0, SLOTS), np.uint16)
     return Model(x, list(taken["lang"]), clusters, tail)
 

@@ -2,19 +2,22 @@
 
 Level 1 encodes the listed keys; level 2 the unlisted keys that pass level 1; level 3 the listed keys that pass
 level 2; and so on until nothing passes wrongly. A key of the universe is listed iff the first level it fails is an
-even one. Levels are built by the executors (partial bit words, OR-ed by an aggregate) and their size is known from
-the counts before they are built: only a cascade within `max_bytes` is broadcast. Beyond it, or where two keys agree
-in 128 bits of hash, membership comes from a left join with the listed keys instead.
+even one. The universe is dealt into parts of about `part_keys` keys by their hash, and each part has a cascade of its own, built
+in one task from its bounded keys. Cascades of up to `max_bytes` in all are broadcast; larger ones travel to the rows: rows are
+dealt by part and salt, each task holds one part's cascade at a time, and a hot key's rows spread over `salts` tasks.
 
 Defined cases: a null url, or one without "://", has empty host and path; the empty host is a key like any other; an
-empty universe or list gives a cascade without levels (nothing listed); repeated rows give repeated results.
+empty universe or list gives a cascade without levels (nothing listed); repeated rows give repeated results; null ids stay
+null. Two keys that agree in 128 bits of hash, one listed and one not, raise an error.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,90 +70,122 @@ def depth_of(levels: list, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return depth
 
 
-class Cascade:
-    """levels is None where the size bound or a hash collision rules the cascade out."""
+def levels_of(inside: tuple[np.ndarray, np.ndarray], outside: tuple[np.ndarray, np.ndarray]) -> list:
+    """The levels for listed and unlisted keys, each given as two arrays of hashes."""
+    levels: list = []
+    while len(inside[0]):
+        n_in, n_out, level = len(inside[0]), len(outside[0]), len(levels) + 1
+        if level > 60:
+            raise ValueError("a listed and an unlisted key have the same hashes")
+        p = min(0.5, n_in * math.sqrt(0.5) / max(n_out, 1)) if not levels else 0.5
+        bits = 64 * math.ceil(max(64, n_in * math.log2(1 / p) / math.log(2)) / 64)
+        hashes = max(1, round(math.log2(1 / p)))
+        at = np.unique(_places(*inside, level, bits, hashes))
+        words = np.zeros(bits // 64, np.uint64)
+        np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        levels.append((bits, hashes, words))
+        at = _places(*outside, level, bits, hashes)
+        wrong = ((words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+        inside, outside = (outside[0][wrong], outside[1][wrong]), inside
+    return levels
 
-    def __init__(self, spark, levels):
-        self.levels = levels
-        self.held = None if levels is None else spark.sparkContext.broadcast(levels)
 
-    @property
-    def n_bytes(self) -> int:
-        return sum(w.nbytes for _, _, w in self.levels or [])
+class Cascade:
+    """Cascades by part: a table (part, levels) and, if they are small enough, a broadcast of it."""
+
+    def __init__(self, table: DataFrame, parts: int, n_bytes: int, max_bytes: int):
+        self.table, self.parts, self.n_bytes = table, parts, n_bytes
+        small = n_bytes <= max_bytes
+        self.held = table.sparkSession.sparkContext.broadcast({r["part"]: pickle.loads(r["levels"]) for r in table.collect()}) if small else None
 
 
 def _hashes(key):
     return F.xxhash64(key).alias("_a"), F.xxhash64(F.lit(1), key).alias("_b")
 
 
-def build_cascade(keys: DataFrame, max_bytes: int = 32 << 20) -> Cascade:
+def build_cascade(keys: DataFrame, max_bytes: int = 32 << 20, part_keys: int = 1 << 20) -> Cascade:
     """keys: distinct (key, listed) over the whole universe."""
-    spark = keys.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(keys.sparkSession)
     table = scratch.keep(keys.select(*_hashes(F.col("key")), F.col("listed")), "keys")
-    counts = {r["listed"]: r["n"] for r in table.groupBy("listed").agg(F.count(F.lit(1)).alias("n")).collect()}
-    levels: list = []
-    inside, outside = table.where("listed").select("_a", "_b"), table.where("not listed").select("_a", "_b")
-    n_in, n_out, spent = counts.get(True, 0), counts.get(False, 0), 0
-    while n_in:
-        p = min(0.5, n_in * math.sqrt(0.5) / max(n_out, 1)) if not levels else 0.5
-        bits = 64 * math.ceil(max(64, n_in * math.log2(1 / p) / math.log(2)) / 64)
-        hashes = max(1, round(math.log2(1 / p)))
-        spent += bits // 8
-        if spent > max_bytes or len(levels) > 60:
-            return Cascade(spark, None)
-        level = len(levels) + 1
-
-        def partial(batches, level=level, bits=bits, hashes=hashes):
-            import pandas as pd
-
-            for b in batches:
-                at = np.unique(_places(b["_a"].to_numpy(), b["_b"].to_numpy(), level, bits, hashes))
-                word = at >> np.uint64(6)
-                first = np.flatnonzero(np.diff(word, prepend=word[:1] + np.uint64(1)))
-                value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
-                yield pd.DataFrame({"word": word[first].astype(np.int64), "value": value.view(np.int64)})
-
-        made = inside.mapInPandas(partial, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toPandas()
-        words = np.zeros(bits // 64, np.uint64)
-        words[made["word"].to_numpy(np.int64)] = made["value"].to_numpy(np.int64).view(np.uint64)
-        levels.append((bits, hashes, words))
-        held = spark.sparkContext.broadcast(levels[-1:])
+    parts = 1 + table.count() // part_keys
 
-        def passing(batches, held=held, level=level):
-            for b in batches:
-                bits, hashes, words = held.value[0]
-                at = _places(b["_a"].to_numpy(), b["_b"].to_numpy(), level, bits, hashes)
-                yield b[((words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)]
+    def build(batches):
+        part, held = None, []
 
-        wrong = scratch.keep(outside.mapInPandas(passing, "_a long, _b long"), f"level{level}")
-        n_wrong = wrong.count()
-        inside, outside, n_in, n_out = wrong, inside, n_wrong, n_in
-    return Cascade(spark, levels)
+        def made():
+            if held:
+                a, b, listed = (np.concatenate(x) for x in zip(*held))
+                yield pd.DataFrame({"part": [part], "levels": [pickle.dumps(levels_of((a[listed], b[listed]), (a[~listed], b[~listed])))]}).astype({"part": "int32"})
 
+        for batch in batches:
+            where = batch["part"].to_numpy()
+            for x in np.unique(where):
+                if x != part:
+                    yield from made()
+                    part, held = x, []
+                mine = batch[where == x]
+                held.append((mine["_a"].to_numpy(), mine["_b"].to_numpy(), mine["listed"].to_numpy(bool)))
+        yield from made()
 
-def with_membership(rows: DataFrame, key_col: str, cascade: Cascade, listed: DataFrame) -> DataFrame:
-    """rows with boolean column listed."""
-    if cascade.levels is None:
-        marks = listed.select(F.col("key").alias("_key"), F.lit(True).alias("_hit"))
-        return rows.join(marks, rows[key_col] == marks["_key"], "left").withColumn("listed", F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
-    held = cascade.held
-
-    @F.pandas_udf("boolean")
-    def member(a, b):
-        import pandas as pd
-
-        return pd.Series(depth_of(held.value, a.to_numpy(), b.to_numpy()) % 2 == 0)
+    dealt = table.withColumn("part", F.pmod("_a", F.lit(parts)).cast("int")).repartition("part").sortWithinPartitions("part")
+    built = scratch.keep(dealt.mapInPandas(build, "part int, levels binary"), "cascade")
+    return Cascade(built, parts, built.agg(F.sum(F.octet_length("levels"))).first()[0] or 0, max_bytes)
 
-    return rows.withColumn("listed", member(*_hashes(F.col(key_col))))
 
-
-def judge_urls(pages: DataFrame, keys: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_bytes: int = 32 << 20) -> DataFrame:
+def with_membership(rows: DataFrame, key_col: str, cascade: Cascade, salts: int = 16) -> DataFrame:
+    """rows with boolean column listed."""
+    parts = cascade.parts
+    listed = lambda levels, a, b: depth_of(levels, a, b) % 2 == 0 if levels else np.zeros(len(a), bool)
+    if cascade.held is not None:
+        held = cascade.held
+
+        @F.pandas_udf("boolean")
+        def member(a, b):
+            a, b = a.to_numpy(), b.to_numpy()
+            out, part = np.zeros(len(a), bool), a % parts
+            for x in np.unique(part):
+                mine = part == x
+                out[mine] = listed(held.value.get(int(x)), a[mine], b[mine])
+            return pd.Series(out)
+
+        return rows.withColumn("listed", member(*_hashes(F.col(key_col))))
+    names, kinds = rows.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    a, b = _hashes(F.col(key_col))
+    data = rows.select(F.pmod(a, F.lit(parts)).cast("int").alias("_part"), F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int").alias("_salt"), a, b, F.struct(*names).alias("_row"), F.lit(None).cast("binary").alias("_levels"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    sent = cascade.table.select(F.col("part").alias("_part"), each, F.lit(0).cast("long").alias("_a"), F.lit(0).cast("long").alias("_b"), F.col("levels").alias("_levels"))
+
+    def probe(batches):
+        import pyarrow as pa
+
+        part, levels = None, None
+        for batch in batches:
+            head = batch["_levels"].is_valid().to_numpy(zero_copy_only=False)
+            parts_, a, b = (batch[c].to_numpy(zero_copy_only=False) for c in ("_part", "_a", "_b"))
+            # A part's cascade comes before its rows; columns stay in Arrow, so nothing is converted.
+            cuts = np.append(np.flatnonzero(head), len(head))
+            if cuts[0]:
+                cuts = np.append(0, cuts)
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if head[x]:
+                    part, levels, x = parts_[x], pickle.loads(batch["_levels"][x].as_py()), x + 1
+                if x < y:
+                    if (parts_[x:y] != part).any():
+                        raise ValueError("rows of a part without its cascade")
+                    hit = pa.array(listed(levels, a[x:y], b[x:y]))
+                    yield pa.RecordBatch.from_arrays([batch[n].slice(x, y - x) for n in names] + [hit], names=names + ["listed"])
+
+    flat = data.select("_part", "_salt", "_a", "_b", "_levels", "_row.*").unionByName(sent, allowMissingColumns=True)
+    dealt = flat.repartition("_part", "_salt").sortWithinPartitions("_part", F.col("_levels").isNull())
+    return dealt.mapInArrow(probe, kinds + ", listed boolean")
+
+
+def judge_urls(pages: DataFrame, keys: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_bytes: int = 32 << 20, part_keys: int = 1 << 20) -> DataFrame:
     """page_id, host, path, rule, listed and verdict. keys: distinct (key, listed) of all hosts."""
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    marked = with_membership(rows, "host", build_cascade(keys, max_bytes), keys.where("listed"))
+    marked = with_membership(rows, "host", build_cascade(keys, max_bytes, part_keys))
     method = F.when(F.col("listed"), "block").otherwise("allow")
     return marked.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "listed")
 

@@ -216,8 +216,9 @@ def test_url_filter(spark):
     pages = spark.createDataFrame([(i, x, "h") for i, x in enumerate(urls)], "page_id long, url string, host string")
     keys = u.tracking_hosts(pages)
     got = rows_of(u.judge_urls(pages, keys), "page_id")
-    again = rows_of(u.judge_urls(pages, keys, max_bytes=0), "page_id")
-    assert got == again
+    for part_keys in (1 << 20, 3):  # one part and several, broadcast and sent to the rows
+        for max_bytes in (0, 32 << 20):
+            assert got == rows_of(u.judge_urls(pages, keys, max_bytes=max_bytes, part_keys=part_keys), "page_id")
     assert [got[i]["rule"] for i in range(7)] == ["org/", "example.org/es/", "example.org/en/1", "org/", "com/fr/", "com/de/", None]
     assert [got[i]["verdict"] for i in range(7)] == ["allow", "block", "block", "allow", "allow", "block", "allow"]
     assert (got[8]["host"], got[8]["path"], got[8]["verdict"]) == ("", "", "allow") and got[10]["verdict"] == "block" and (got[12]["host"], got[12]["path"]) == ("b:", "//c/d")
@@ -230,10 +231,13 @@ def test_cascade_is_exact(spark):
     from gaugeworks.llm import url_filter as u
 
     keys = spark.range(20000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
-    cascade = u.build_cascade(keys)
-    assert len(cascade.levels) > 1 and cascade.n_bytes < 40_000
-    got = u.with_membership(keys.withColumnRenamed("listed", "truth"), "key", cascade, keys.where("listed"))
-    assert got.where("truth <> listed").count() == 0
+    for options in ({}, {"part_keys": 3000}, {"part_keys": 3000, "max_bytes": 0}):
+        cascade = u.build_cascade(keys, **options)
+        assert cascade.parts == (1 if not options else 7) and 0 < cascade.n_bytes < 60_000 and (cascade.held is None) == ("max_bytes" in options)
+        got = u.with_membership(keys.withColumnRenamed("listed", "truth"), "key", cascade)
+        assert got.count() == 20000 and got.where("truth <> listed").count() == 0
+    nothing = u.with_membership(keys.select("key"), "key", u.build_cascade(keys.withColumn("listed", F.lit(False)), max_bytes=0))
+    assert nothing.where("listed").count() == 0
 
 
 def test_packing(spark, awkward):
@@ -714,3 +718,59 @@ def test_rates_against_brute_force_least_squares(spark):
     for r in mixture_report(docs, labels).collect():
         assert abs(r["expected"] - r["target"]) <= 1.1e-3 * r["target"] and abs(r["dealt"] - r["target"]) <= 0.25 * r["target"]
 
+
+def test_rare_language_is_learned(spark):
+    """A language of one row in ten thousand is learned and found, and predictions agree with plain cosines."""
+    from gaugeworks.llm.language import SLOTS, Grams, fit_language, predict_language
+
+    rng = random.Random(14)
+    words = {"en": ["the", "and", "with", "thing", "other"], "de": ["der", "und", "nicht", "haus", "weg"], "zz": ["qxqx", "wkwk", "vjvj"]}
+    rows = [(i, " ".join(rng.choices(words["en" if i % 2 else "de"], k=8)), "en" if i % 2 else "de") for i in range(10_000)] + [(10_000, "qxqx wkwk vjvj qxqx", "zz")]
+    model = fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.langs) == {"en", "de", "zz"}
+    texts = ["vjvj wkwk qxqx", "the other thing", "", "der weg", "vjvj the"]
+    got = [(r["lang_pred"], r["score"]) for r in predict_language(table(spark, texts), model).orderBy("doc_id").collect()]
+    for text, (lang, score) in zip(texts, got):
+        if not text:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        counts = Grams.counts(text)
+        assert counts.sum() == sum(len(f"\0{text}\0") - k + 1 for k in (2, 3)) and len(counts) == SLOTS
+        v = [float(np.log1p(c)) * float(w) for c, w in zip(counts, model.idf)]
+        norm = sum(x * x for x in v) ** 0.5
+        cosines = [sum(a * float(b) for a, b in zip(v, c)) / norm for c in model.centres]
+        assert lang == model.langs[int(np.argmax(cosines))] and abs(score - min(max(max(cosines), 0), 1)) < 1e-4
+
+
+def test_labellers_against_plain_expectation_maximisation():
+    """Posteriors by counts of vote patterns equal those of the same rounds document by document."""
+    from gaugeworks.llm.quality import LABELLERS, fit_labellers
+
+    rng = random.Random(15)
+    docs = []
+    for _ in range(400):
+        bad = rng.random() < 0.2
+        docs.append("".join("-" if rng.random() < 0.3 else ("b" if rng.random() < (0.7 if bad else 0.05) else "g") for _ in LABELLERS))
+    got = fit_labellers(collections.Counter(docs), rounds=20)
+    prior, start = [0.1, 0.9], [[0.4, 0.6], [0.02, 0.98]]
+    rate = [[list(start[c]) for _ in LABELLERS] for c in range(2)]
+    for _ in range(20):
+        post = []
+        for d in docs:
+            like = [prior[c] for c in range(2)]
+            for c in range(2):
+                for k, v in enumerate(d):
+                    if v != "-":
+                        like[c] *= rate[c][k]["bg".index(v)]
+            post.append([x / sum(like) for x in like])
+        prior = [(sum(p[c] for p in post) + 1) / (len(docs) + 2) for c in range(2)]
+        for c in range(2):
+            for k in range(len(LABELLERS)):
+                n = [sum(p[c] for p, d in zip(post, docs) if d[k] == v) + start[c][j] for j, v in enumerate("bg")]
+                rate[c][k] = [x / sum(n) for x in n]
+        for k in range(len(LABELLERS)):
+            if rate[0][k][0] < rate[1][k][0]:
+                rate[0][k] = rate[1][k] = [(x + y) / 2 for x, y in zip(rate[0][k], rate[1][k])]
+    for d, p in zip(docs, post):
+        assert abs(got[d] - p[1]) < 1e-9
+
