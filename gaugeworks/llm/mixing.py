@@ -13,7 +13,7 @@ Targets: weights of the domains, of as many tokens as leave the anchor domain at
 less than its weight asks for get rates over 1. Only with max_rate is a target held at max_rate times what the domain has.
 A domain without any label keeps what it has.
 
-The classifier is naive Bayes over telling hashed words, on at most `sample` labelled rows (least hashes). Labels repeat or clash:
+The classifier is Bernoulli naive Bayes over telling hashed words, on at most `sample` labelled rows (least hashes). Labels repeat or clash:
 the greatest (toxic, -quality) of a document counts.
 
 Defined cases: null and empty texts have no tokens, the prior as posterior, and the rate that this gives; labels with null
@@ -47,21 +47,22 @@ def _slot(word: str) -> int:
 
 
 class Bayes:
-    """Naive Bayes over the telling slots that a text holds; words as common in every domain, and absent ones, don't count.
+    """Bernoulli naive Bayes over telling slots: present and absent words count, words as common in every domain don't.
 
-    A slot is telling if the share of a domain's documents that hold it is `lift` times the first domain's, or the first's is
-    `lift` times the domain's, and at least `least` documents and three in a hundred of some domain hold it.
+    A slot is telling if the share of a domain's documents that hold it is `lift` times the first domain's, and at least `least`
+    documents and three in a hundred of some domain hold it. Slots that tell for the first domain are left out: with them,
+    absent words of other languages and short texts make clean documents low, and without absent words long texts toxic.
     """
 
     def __init__(self, counts: np.ndarray, docs: np.ndarray, lift: float = 4.0, least: int = 8):
         self.docs = docs
         share = (counts + 0.5) / (docs[:, None] + 1)
-        far = (share >= lift * share[:1]) | (lift * share <= share[:1])
+        far = share >= lift * share[:1]
         known = (counts >= np.maximum(least, docs[:, None] * 0.03)).any(0)
         telling = np.flatnonzero(far.any(0) & known)
         share = share[:, telling]
-        self.base = np.log((docs + 0.5) / (docs + 0.5).sum())
-        self.gain = np.log(share).T
+        self.base = np.log((docs + 0.5) / (docs + 0.5).sum()) + np.log1p(-share).sum(1)
+        self.gain = (np.log(share) - np.log1p(-share)).T
         self.place = {s: k for k, s in enumerate(telling.tolist())}
         self.memo: dict | None = None
 
@@ -138,7 +139,7 @@ def _rate(steps: list[np.ndarray], most: float | None = None):
     return F.aggregate(rounds, rate, lambda r, g: bound(F.greatest(F.lit(0.0), r - sum((p[k] * g[k] for k in range(1, len(p))), p[0] * g[0]))))
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, have: np.ndarray, rounds: int = 200, most: float | None = None, tolerance: float = 1e-3) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_rates(members: DataFrame, targets: np.ndarray, have: np.ndarray, rounds: int = 60, most: float | None = None, tolerance: float = 5e-3) -> tuple[list[np.ndarray], np.ndarray]:
     """Gradients of each round, and the expected tokens reached. members: memberships(); have: its tokens by domain.
 
     Minimises the sum over domains of (reached - target)^2 / have. In a document's own tokens as unit, its gradient is the
@@ -153,14 +154,14 @@ def fit_rates(members: DataFrame, targets: np.ndarray, have: np.ndarray, rounds:
         gap = reached - targets
         loss = float((gap**2 / scale).sum())
         first = loss if first is None else first
-        done = (np.abs(gap) <= tolerance * np.maximum(targets, tolerance * have)).all() or (before is not None and before - loss <= 1e-9 * first)
+        done = (np.abs(gap) <= tolerance * np.maximum(targets, tolerance * have)).all() or (before is not None and before - loss <= 1e-6 * first)
         if len(steps) >= rounds or done:
             return steps, reached
         before = loss
         steps.append(gap / scale)
 
 
-def fit_mixture(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict | None = None, anchor: str = "clean", rounds: int = 200, max_rate: float | None = None):
+def fit_mixture(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict | None = None, anchor: str = "clean", rounds: int = 60, max_rate: float | None = None, tolerance: float = 5e-3):
     """(classifier, gradients of the rounds, memberships table, tokens by domain: had, wanted, reached)."""
     scratch = Scratch(docs.sparkSession)
     model = fit_domains(docs, labels, id_col, text_col)
@@ -176,7 +177,7 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         targets = np.minimum(have * max_rate, targets)
     # Nothing tells the documents of a domain without labels apart.
     targets = np.where(model.docs > 0, targets, have)
-    steps, reached = fit_rates(members, targets, have, rounds, max_rate)
+    steps, reached = fit_rates(members, targets, have, rounds, max_rate, tolerance)
     return model, steps, members, (have, targets, reached)
 
 
