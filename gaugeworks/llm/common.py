@@ -81,7 +81,8 @@ def row_keys(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def without_rows(df: DataFrame, keys: list[str], lost: DataFrame, again: DataFrame) -> DataFrame:
     """df, which has row_keys `keys`, without the rows of `lost` and with one row for each key of `again`; both are written tables of keys."""
-    drop = lambda some, how: df.join(some.withColumnsRenamed({k: k + "r" for k in keys}), [df[k] == F.col(k + "r") for k in keys], how)
+    # Always by sort-merge: the plan is the same at every size, and its hot side can be split.
+    drop = lambda some, how: df.join(some.withColumnsRenamed({k: k + "r" for k in keys}).hint("merge"), [df[k] == F.col(k + "r") for k in keys], how)
     out = drop(lost, "left_anti")
     if not again.isEmpty():
         out = drop(lost.unionByName(again), "left_anti").unionByName(drop(again, "left_semi").dropDuplicates(keys))

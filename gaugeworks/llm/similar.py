@@ -2,8 +2,9 @@
 
 SimHash fingerprints within a few bits mean nearly equal texts; documents that share four fifths of their shingles differ
 in about ten bits, too many for an exact index. So candidates come from min-hashes: `bands` keys of `rows` minima each, and
-every text is first paired with the first one of its key (a star). What the verified stars leave unlinked is compared in
-full: of every key, all pairs of documents that are not in one component yet. Pairs are verified on the shingles themselves.
+every text is first paired with the first one of its key (a star). Texts that fail there form finer stars, around the first and
+the last text of each triple of keys they failed under. Pairs are verified on the shingles themselves. No step pairs all texts of a key,
+so in a family of unlike texts that share keys a similar pair can stay unlinked, if neither meets the other as a first one.
 At similarity 0.8 a pair shares one of 8 keys of 4 minima with probability 0.985, at 0.9 with 0.9998.
 """
 
@@ -15,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, whole
-from .components import components
 from .passages import Tokens
 
 
@@ -53,24 +53,24 @@ def band_keys(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
     return rows.mapInPandas(run, "doc long, n int, key long")
 
 
-def _unsettled(keys: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(u, v, nu, nv), u > v: pairs that share a key and aren't in one component of links.
+def _finer(keys: DataFrame, first: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v): finer stars of the texts that failed against the first one of a key, around the first and the last of each triple of such keys.
 
-    Of a key's largest component no two members pair, so a hot key costs its members times those outside of it.
+    A text has a bounded number of triples, so this is linear; three keys in common set texts of a lower similarity apart.
     """
-    classes = components(links, scratch)
-    held = keys.join(classes.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
-    held = scratch.keep(held, "held")
-    main = held.groupBy("key", "c").agg(F.count(F.lit(1)).alias("_n")).groupBy("key").agg(F.max(F.struct("_n", "c")).alias("_m"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
-    open_ = scratch.keep(held.join(scratch.keep(main.select("key", F.col("_m.c").alias("main")), "main"), "key"), "open")
-    # Written first: a hot key's rows can then be split between tasks of the join.
-    out = scratch.keep(open_.where("c <> main").select("key", F.col("doc").alias("o"), F.col("n").alias("no"), F.col("c").alias("co")), "outside")
-    pairs = open_.join(out, "key").where("c <> co and (c = main or doc > o)")
-    return pairs.select(F.greatest("doc", "o").alias("u"), F.least("doc", "o").alias("v"), F.when(F.col("doc") > F.col("o"), F.col("n")).otherwise(F.col("no")).alias("nu"), F.when(F.col("doc") > F.col("o"), F.col("no")).otherwise(F.col("n")).alias("nv"))
+    failed = keys.join(first, "key").where("doc <> v").join(links.select(F.col("u").alias("doc"), "v"), ["doc", "v"], "left_anti")
+    own = failed.groupBy("doc").agg(F.sort_array(F.collect_set("key")).alias("k")).where(F.size("k") >= 3)
+    n = F.size("k")
+    three = F.flatten(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.flatten(F.transform(F.sequence(i + 1, n - 2), lambda j: F.transform(
+        F.sequence(j + 1, n - 1), lambda m: F.xxhash64(F.get(F.col("k"), i), F.get(F.col("k"), j), F.get(F.col("k"), m)))))))
+    joint = scratch.keep(own.select("doc", F.explode(three).alias("key")), "joint")
+    ends = joint.groupBy("key").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a <> _b")
+    heads = scratch.keep(ends.select("key", F.explode(F.array("_a", "_b")).alias("v")), "heads")
+    return joint.join(heads, "key").where("doc <> v").select(F.greatest("doc", "v").alias("u"), F.least("doc", "v").alias("v")).distinct()
 
 
 def similar_pairs(docs: DataFrame, scratch: Scratch, text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 8, per_band: int = 4) -> DataFrame:
-    """(u, v): fingerprints of verified pairs, enough of them that any two similar texts that share a key are in one component.
+    """(u, v): fingerprints of verified pairs: of stars by key, and of finer stars.
 
     A text is known by its hash; should two texts have one hash, both are compared wherever one would be.
     """
@@ -107,8 +107,6 @@ def similar_pairs(docs: DataFrame, scratch: Scratch, text_col: str = "text", wor
         return scratch.keep(both.mapInPandas(verify, "u long, v long, fu long, fv long"), "links")
 
     links = verified(pairs)
-    # Sets whose sizes differ by more than the bound can't be similar; the stars' pairs are settled.
-    rest = _unsettled(keys, links.select("u", "v"), scratch).where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9).select("u", "v").distinct()
-    settled = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    links = links.unionByName(verified(scratch.keep(rest.join(settled, ["u", "v"], "left_anti"), "rest")))
+    rest = _finer(keys, first, links.select("u", "v"), scratch).join(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
+    links = links.unionByName(verified(scratch.keep(rest, "rest")))
     return links.select(F.col("fu").alias("u"), F.col("fv").alias("v"))
