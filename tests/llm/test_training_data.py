@@ -486,10 +486,12 @@ def similar_links(texts, similarity=0.8):
     return {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])}
 
 
-def test_template_family_links_most_similar_pairs(spark):
+def template_family_links(spark):
+    """(linked, wanted): of the family's similar pairs that share a key, how many the operator links; none but similar ones."""
     from gaugeworks.llm.common import Scratch, whole
     from gaugeworks.llm.components import components
     from gaugeworks.llm.similar import band_keys, similar_pairs
+    from gaugeworks.llm.simhash import fingerprint
 
     texts = template_family(random.Random(24))
     docs, scratch = table(spark, texts), Scratch(spark)
@@ -497,16 +499,23 @@ def test_template_family_links_most_similar_pairs(spark):
     for r in band_keys(docs.select(docs.doc_id.alias("doc"), whole("text").alias("_text")), 8, 4).collect():
         held[r["doc"]].add(r["key"])
     want = {(i, j) for i, j in similar_links(texts) if held[i] & held[j]}
-    from gaugeworks.llm.simhash import fingerprint
-
     own = {np.uint64(fingerprint(t, 5)).astype(np.int64).item(): i for i, t in enumerate(texts)}
     assert len(own) == len(texts)
     found = similar_pairs(docs, scratch)  # links of fingerprints, here one a document
     assert {(max(own[r["u"]], own[r["v"]]), min(own[r["u"]], own[r["v"]])) for r in found.collect()} <= want
     got = {own[r["node"]]: r["component"] for r in components(found, scratch).collect()}
-    linked = sum(i in got and j in got and got[i] == got[j] for i, j in want)
-    print("template family: linked", linked, "of", len(want))
-    assert len(want) > 50 and linked >= 0.8 * len(want)  # linear stars only: not all, see similar.py
+    return sum(i in got and j in got and got[i] == got[j] for i, j in want), len(want)
+
+
+def test_template_family_links_most_similar_pairs(spark):
+    linked, wanted = template_family_links(spark)
+    assert wanted > 50 and linked >= 0.8 * wanted
+
+
+@pytest.mark.xfail(reason="the linear stars of similar.py lose links between texts that fail against the first ones of their keys", strict=True)
+def test_template_family_keeps_no_similar_pair_of_a_key(spark):
+    linked, wanted = template_family_links(spark)
+    assert wanted > 50 and linked == wanted
 
 
 def passage_after_a_variant(rng):
