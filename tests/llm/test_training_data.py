@@ -785,3 +785,16 @@ def test_labellers_against_plain_expectation_maximisation():
     for d, p in zip(docs, post):
         assert abs(got[d] - p[1]) < 1e-9
 
+
+def test_passages_are_the_same_through_any_levels_of_exchange(spark):
+    from gaugeworks.llm.passages import _widths, repeated_passages
+
+    rng = np.random.default_rng(5)
+    word = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
+    shared = [word(70) for _ in range(4)]
+    texts = [" ".join([word(int(rng.integers(0, 60))), shared[i % 4], word(int(rng.integers(0, 60)))]) for i in range(40)]
+    docs = table(spark, texts + texts[:5] + [None, "", "a few words"])
+    assert [_widths(n, 3) for n in (1, 3, 4, 9, 10)] == [[1], [1], [3, 1], [3, 1], [9, 3, 1]]
+    plain = sorted(map(tuple, repeated_passages(docs).collect()))
+    assert len(plain) >= 45
+    assert sorted(map(tuple, repeated_passages(docs, bucket=1000, fan=3).collect())) == plain
