@@ -47,6 +47,7 @@ class IsolationForest:
                 return at
             f = int(rng.choice(usable))
             c = rng.uniform(low[f], high[f])
+            c = c if low[f] < c <= high[f] else high[f]  # between neighbouring floats rounding would leave one side empty
             go = rows[:, f] < c
             feature[at], cut[at] = f, c
             left[at], right[at] = node(rows[go], depth + 1), node(rows[~go], depth + 1)

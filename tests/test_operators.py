@@ -88,6 +88,13 @@ def test_isolation_forest_separates():
     assert (forest.score(x) == ml.IsolationForest(x, trees=60).score(x)).all()
 
 
+def test_isolation_forest_parts_neighbouring_floats():
+    x = np.where(np.arange(40) % 2, np.nextafter(20.6, 21), 20.6)[:, None] * [[1.0, 0.0]]
+    forest = ml.IsolationForest(x, trees=40)
+    assert all(f.tolist() == [0, -1, -1] and len(set(cut)) == 2 and (path[1:] > 1).all() for f, cut, _, _, path in forest.trees)
+    assert np.isfinite(forest.score(x)).all()
+
+
 def test_recurrent_errors_rise_on_a_spike():
     t = np.arange(600)
     z = np.stack([np.sin(t / 9), np.cos(t / 9), np.sin(t / 5)], 1)
