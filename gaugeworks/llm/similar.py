@@ -1,11 +1,17 @@
 """Pairs of documents whose sets of five-word shingles have a Jaccard similarity of at least a bound.
 
 SimHash fingerprints within a few bits mean nearly equal texts; documents that share four fifths of their shingles differ
-in about ten bits, too many for an exact index. So candidates come from min-hashes: `bands` keys of `rows` minima each, and
-every text is first paired with the first one of its key (a star). Texts that fail there form finer stars, around the first and
-the last text of each triple of keys they failed under. Pairs are verified on the shingles themselves. No step pairs all texts of a key,
-so in a family of unlike texts that share keys a similar pair can stay unlinked, if neither meets the other as a first one.
-At similarity 0.8 a pair shares one of 8 keys of 4 minima with probability 0.985, at 0.9 with 0.9998.
+in about ten bits, too many for an exact index.
+
+1. Min-hashes settle the bulk: `bands` keys of `rows` minima each, every text paired with the first one of its key (a star),
+   texts that fail there with the first and the last text of each triple of keys they failed under. Pairs are verified on the shingles.
+2. An exact join finds what that leaves. All shingles have one order, the frequent ones last (by a sample; the order decides
+   the cost, never the result). Two sets at the bound share one of the first (1 - similarity) n + 1 of each, so each of
+   these is a key and all pairs of a key are candidates, unless they are of one component already, or their sizes, the
+   places of the key or the distance of their parity bitmaps (at most the number of shingles that only one has) rule the
+   bound out. Candidates are verified; keys of many texts are dealt to tasks by pairs of parts.
+
+So the links connect exactly what all similar pairs connect; pairs inside a component may be left out.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, whole
+from .components import components
 from .passages import Tokens
 
 
@@ -69,10 +76,134 @@ def _finer(keys: DataFrame, first: DataFrame, links: DataFrame, scratch: Scratch
     return joint.join(heads, "key").where("doc <> v").select(F.greatest("doc", "v").alias("u"), F.least("doc", "v").alias("v")).distinct()
 
 
-def similar_pairs(docs: DataFrame, scratch: Scratch, text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 8, per_band: int = 4) -> DataFrame:
-    """(u, v): fingerprints of verified pairs: of stars by key, and of finer stars.
+#: Words of 64 bits in a parity bitmap.
+MARK = 16
+
+
+def frequent(rows: DataFrame, sample: int = 10_000, least: int = 3, most: int = 200_000) -> np.ndarray:
+    """Shingles of `least` or more of about `sample` texts, chosen by hash, the rarest first; `most` bounds the list."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"x": np.concatenate([np.zeros(0, np.uint64)] + [np.unique(Tokens.of(t)) for t in b["_text"]]).view(np.int64)})
+
+    share = max(1, rows.count() // sample)
+    some = rows.where(F.pmod("doc", F.lit(share)) == 0).dropDuplicates(["doc"]).mapInPandas(run, "x long")
+    found = some.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).orderBy(F.desc("c"), "x").limit(most).select("x").toPandas()
+    return found["x"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+
 
-    A text is known by its hash; should two texts have one hash, both are compared wherever one would be.
+def prefix_keys(rows: DataFrame, similarity: float, late: np.ndarray) -> DataFrame:
+    """(doc, n, at, key): the first shingles in the common order, `late` ones last, at their places; n the distinct shingles."""
+    by = np.argsort(late)
+    value = np.append(late[by], np.uint64(2**64 - 1))
+    rank = np.append(by, -1).astype(np.int32)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for doc, text in zip(b["doc"], b["_text"]):
+                x = np.unique(Tokens.of(text))
+                n = len(x)
+                if n:
+                    i = np.searchsorted(value[:-1], x)
+                    r = np.where(value[i] == x, rank[i], -1)
+                    first = x[np.argsort(r, kind="stable")][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                    out.append((np.full(len(first), doc), np.full(len(first), n), np.arange(len(first)), first.view(np.int64)))
+            cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 4
+            yield pd.DataFrame({k: c.astype(d) for k, c, d in zip(("doc", "n", "at", "key"), cols, ("int64", "int32", "int32", "int64"))})
+
+    return rows.mapInPandas(run, "doc long, n int, at int, key long")
+
+
+def bitmap(x: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles at each of 64 MARK bits."""
+    odd = np.bincount((x >> np.uint64(20)).astype(np.int64) & (64 * MARK - 1), minlength=64 * MARK) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+GROUP = ["key", "_a", "_b"]
+
+
+def _candidates(similarity: float, tile: int = 1 << 18):
+    """Rows sorted by GROUP -> (u, v) that may be similar. Holds one batch, the open group and a tile of its pairs."""
+    part = similarity / (1 + similarity)
+
+    def solve(b):
+        b = b.sort_values("doc")
+        doc, n, at, own, c = (b[k].to_numpy(np.int64) for k in ("doc", "n", "at", "_own", "component"))
+        if len(b) < 2 or (c == c[0]).all():
+            return
+        cross = b["_a"].iat[0] != b["_b"].iat[0]
+        mark = np.frombuffer(b"".join(b["mark"]), np.uint64).reshape(-1, MARK)
+        step = max(1, tile // len(b))
+        for p in range(0, len(b), step):
+            q = slice(p, p + step)
+            need = part * (n[q, None] + n[None]) - 1e-6
+            fit = (np.minimum((n - at)[q, None], (n - at)[None]) >= need) & (c[q, None] != c[None]) & (doc[q, None] > doc[None])
+            if cross:
+                fit &= own[q, None] != own[None]
+            i, j = np.nonzero(fit)
+            i += p
+            far = np.concatenate([np.zeros(0, np.int64)] + [np.bitwise_count(mark[i[k : k + 8192]] ^ mark[j[k : k + 8192]]).sum(1, dtype=np.int64) for k in range(0, len(i), 8192)])
+            near = far <= n[i] + n[j] - 2 * part * (n[i] + n[j]) + 1e-6
+            if near.any():
+                yield pd.DataFrame({"u": doc[i[near]], "v": doc[j[near]]})
+
+    def groups(b):
+        k = b[GROUP].to_numpy()
+        edge = np.flatnonzero(np.append(True, (k[1:] != k[:-1]).any(1))).tolist() + [len(b)]
+        for p, q in zip(edge[:-1], edge[1:]):
+            yield from solve(b.iloc[p:q])
+
+    def run(batches):
+        held = []
+        for b in batches:
+            if not len(b):
+                continue
+            k = b[GROUP].to_numpy()
+            if held and (held[0][GROUP].iloc[0].to_numpy() == k[-1]).all():
+                held.append(b)
+                continue
+            b = pd.concat([*held, b], ignore_index=True)
+            k = b[GROUP].to_numpy()
+            other = np.flatnonzero((k != k[-1]).any(1))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            yield from groups(b.iloc[:cut])
+            held = [b.iloc[cut:]]
+        if held:
+            yield from groups(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def _rest(rows: DataFrame, links: DataFrame, sets_of, similarity: float, scratch: Scratch, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v) candidates of the exact join between components of links, and the shingle sets of their texts."""
+    keys = scratch.keep(prefix_keys(rows, similarity, frequent(rows)), "prefixes")
+    shared = keys.groupBy("key").agg(F.min("doc").alias("_x"), F.max("doc").alias("_y")).where("_x <> _y").select("key")
+    named = components(links, scratch).select(F.col("node").alias("doc"), "component")
+    live = keys.join(shared, "key").distinct().join(named, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    live = scratch.keep(live, "live")
+    # Keys of one component are settled.
+    mixed = live.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.count(F.lit(1)).alias("_n")).where("_x <> _y").select("key", "_n")
+    live = scratch.keep(live.join(scratch.keep(mixed, "mixed"), "key"), "live")
+    sets = sets_of(scratch.keep(live.select("doc").distinct(), "needed"))
+    parts = F.ceil(F.col("_n") / limit).cast("int")
+    dealt = live.join(sets.select("doc", "mark"), "doc").select(
+        "key", "doc", "n", "at", "component", "mark", F.pmod(F.xxhash64("doc"), parts).cast("int").alias("_own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_other")
+    )
+    keyed = dealt.withColumns({"_a": F.least("_own", "_other"), "_b": F.greatest("_own", "_other")}).drop("_other")
+    found = keyed.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInPandas(_candidates(similarity), "u long, v long")
+    return scratch.keep(found.distinct(), "rest"), sets
+
+
+def similar_pairs(
+    docs: DataFrame, scratch: Scratch, text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 8, per_band: int = 4, limit: int = 2048
+) -> DataFrame:
+    """(u, v): fingerprints of verified pairs, which connect all texts that similar pairs connect.
+
+    A text is known by its hash; should two texts have one hash, both are compared wherever one would be. Keys of more
+    than `limit` texts are dealt in parts.
     """
     rows = docs.select(F.xxhash64(whole(text_col)).alias("doc"), whole(text_col).alias("_text"))
     keys = scratch.keep(band_keys(rows, bands, per_band).distinct(), "keys")
@@ -85,11 +216,13 @@ def similar_pairs(docs: DataFrame, scratch: Scratch, text_col: str = "text", wor
 
         for b in batches:
             fp = np.array([fingerprint(t, words) for t in b["_text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc": b["doc"], "fp": fp, "x": [np.unique(Tokens.of(t)).tobytes() for t in b["_text"]]})
+            x = [np.unique(Tokens.of(t)) for t in b["_text"]]
+            yield pd.DataFrame({"doc": b["doc"], "fp": fp, "x": [v.tobytes() for v in x], "mark": [bitmap(v) for v in x]})
 
-    # Repeats of a text are one row from here on.
-    texts = needed.join(rows, "doc").groupBy("doc", F.xxhash64(F.lit(1), "_text").alias("_h")).agg(F.first("_text").alias("_text"))
-    sets = scratch.keep(texts.select("doc", "_text").mapInPandas(shingles, "doc long, fp long, x binary"), "sets")
+    def sets_of(some):
+        # Repeats of a text are one row from here on.
+        texts = some.join(rows, "doc").groupBy("doc", F.xxhash64(F.lit(1), "_text").alias("_h")).agg(F.first("_text").alias("_text"))
+        return scratch.keep(texts.select("doc", "_text").mapInPandas(shingles, "doc long, fp long, x binary, mark binary"), "sets")
 
     def verify(batches):
         for b in batches:
@@ -100,13 +233,15 @@ def similar_pairs(docs: DataFrame, scratch: Scratch, text_col: str = "text", wor
                 keep.append(same >= similarity * (len(p) + len(q) - same) - 1e-9)
             yield b.loc[keep, ["u", "v", "fu", "fv"]]
 
-    def verified(some):
+    def verified(some, sets):
         left = sets.select(F.col("doc").alias("u"), F.col("fp").alias("fu"), "x")
         right = sets.select(F.col("doc").alias("v"), F.col("fp").alias("fv"), F.col("x").alias("y"))
         both = some.join(left, "u").join(right, "v").select("u", "v", "fu", "fv", "x", "y")
         return scratch.keep(both.mapInPandas(verify, "u long, v long, fu long, fv long"), "links")
 
-    links = verified(pairs)
+    sets = sets_of(needed)
+    links = verified(pairs, sets)
     rest = _finer(keys, first, links.select("u", "v"), scratch).join(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
-    links = links.unionByName(verified(scratch.keep(rest, "rest")))
+    links = scratch.keep(links.unionByName(verified(scratch.keep(rest, "rest"), sets)), "links")
+    links = links.unionByName(verified(*_rest(rows, links.select("u", "v"), sets_of, similarity, scratch, limit)))
     return links.select(F.col("fu").alias("u"), F.col("fv").alias("v"))
