@@ -19,6 +19,36 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+#: Caches of Python workers by step. Workers outlive a step and would hold them, idle, through all later ones.
+CACHES: dict[str, dict] = {}
+
+
+def release(*own: str) -> None:
+    """Empties the caches of other steps than `own` and hands free memory back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for name, cache in CACHES.items():
+        if name not in own:
+            cache.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run, *own: str):
+    """`run`, over the batches of a partition, which leaves no memory of this or other steps behind but `own` caches."""
+
+    def outer(batches):
+        release(*own)
+        yield from run(batches)
+        release(*own)
+
+    return outer
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, whole
+from .common import Scratch, documents, tidy, whole
 
 SLOTS = 1 << 18
 #: Domains of the labelled table, and the default target weights.
@@ -107,7 +107,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         d, s = np.nonzero(made)
         yield pd.DataFrame({"domain": d.astype(np.int32), "slot": s.astype(np.int32), "n": made[d, s]})
 
-    sums = rows.mapInPandas(count, "domain int, slot int, n long").groupBy("domain", "slot").agg(F.sum("n").alias("n")).toPandas()
+    sums = rows.mapInPandas(tidy(count), "domain int, slot int, n long").groupBy("domain", "slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(DOMAINS), SLOTS + 1))
     counts[sums["domain"], sums["slot"]] = sums["n"]
     return Bayes(counts[:, :SLOTS], counts[:, SLOTS])
@@ -125,7 +125,7 @@ def memberships(docs: DataFrame, model: Bayes, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": np.array([m[0] for m in made], np.int64), **{n: p[:, k] for k, n in enumerate(names)}})
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text")).mapInPandas(run, f"doc_id {kind}, tokens long, " + ", ".join(f"{n} double" for n in names))
+    return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text")).mapInPandas(tidy(run), f"doc_id {kind}, tokens long, " + ", ".join(f"{n} double" for n in names))
 
 
 def _rate(steps: list[np.ndarray], most: float | None = None):

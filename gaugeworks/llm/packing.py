@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, whole
+from .common import CACHES, Scratch, documents, tidy, whole
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
@@ -91,7 +91,7 @@ class ChunkTokenizer:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+_TOKENIZERS: dict[str, ChunkTokenizer] = CACHES.setdefault("packing", {})
 
 
 def tokenizer_at(path: str | None) -> ChunkTokenizer:
@@ -121,7 +121,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text")).mapInPandas(tidy(run, "packing"), schema)
 
 
 # ---- the plan, on the histogram ----

@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, whole
+from .common import CACHES, Scratch, documents, whole
 from .components import components
 
 SHINGLE = 5
@@ -73,7 +73,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return found[:n]
 
 
-_POWERS: dict[int, np.ndarray] = {}
+_POWERS: dict[int, np.ndarray] = CACHES.setdefault("passages", {})
 #: Odd bases have inverses among 64-bit numbers, so running sums give the hash of any stretch.
 BASES = (0x100000001B3, 0x9E3779B97F4A7C15)
 SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))

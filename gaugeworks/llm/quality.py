@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import operator
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, whole
+from .common import documents, release, small_batches, whole
 
 SLOTS = 1 << 12
 SYMBOLS = "#$%&*@^~|<>{}[]=+_\\"
@@ -220,8 +221,11 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     _, scorer = fit(docs, id_col, text_col, sample)
 
     @F.pandas_udf("boolean")
-    def good(text: pd.Series) -> pd.Series:
-        return pd.Series([f[1] > 0 and scorer.score(f) >= threshold for f in map(facts, text)], dtype=bool)
+    def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
+        for text in texts:
+            yield pd.Series([f[1] > 0 and scorer.score(f) >= threshold for f in map(facts, text)], dtype=bool)
+        release()
 
     return docs.where(good(whole(text_col)))
 

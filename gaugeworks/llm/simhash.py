@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, row_keys, whole, without_rows
+from .common import Scratch, documents, row_keys, tidy, whole, without_rows
 from .components import components
 from .similar import similar_pairs
 
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(id_col).alias("doc_id"), *keys, whole(text_col).alias("_text"))
     fields = "".join(f"`{n}` {kind}, " for n, kind in rows.dtypes[:-1])
-    return rows.mapInPandas(run, fields + "fp long")
+    return rows.mapInPandas(tidy(run), fields + "fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:

@@ -833,3 +833,12 @@ def test_passages_are_the_same_through_any_levels_of_exchange(spark):
     plain = sorted(map(tuple, repeated_passages(docs).collect()))
     assert len(plain) >= 45
     assert sorted(map(tuple, repeated_passages(docs, bucket=1000, fan=3).collect())) == plain
+
+
+def test_workers_leave_no_caches_of_other_steps():
+    from gaugeworks.llm.common import CACHES, tidy
+    from gaugeworks.llm.passages import _POWERS, _powers
+
+    _powers(3, 10)
+    assert list(tidy(lambda batches: map(len, batches), "passages")(["ab", "c"])) == [2, 1] and 3 in _POWERS and CACHES["passages"] is _POWERS
+    assert list(tidy(lambda batches: map(len, batches))([])) == [] and not _POWERS
