@@ -842,3 +842,44 @@ def test_workers_leave_no_caches_of_other_steps():
     _powers(3, 10)
     assert list(tidy(lambda batches: map(len, batches), "passages")(["ab", "c"])) == [2, 1] and 3 in _POWERS and CACHES["passages"] is _POWERS
     assert list(tidy(lambda batches: map(len, batches))([])) == [] and not _POWERS
+
+
+def test_every_similar_passage_is_found(spark):
+    """Copies of six passages, each edited in its own way: stretches and classes as by brute force over all pairs."""
+    from gaugeworks.llm.passages import Tokens, _runs, match, repeated_passages
+
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passages, line, texts = [some(60) for _ in range(6)], some(8), []
+    for i in range(240):
+        body = list(passages[i % 6])
+        for k in rng.sample(range(60), rng.randint(0, 3)):
+            body[k] = f"z{rng.random()}" if rng.random() < 0.6 else rng.choice(vocabulary[:20])
+        if i % 17 == 0:
+            body = body[:30] + body[24:30] * 3 + body[30:]
+        texts.append(some(rng.randint(0, 40)) + body + some(rng.randint(0, 40)))
+    texts += [some(10) + line * rng.randint(1, 9) + passages[i % 6][:45] + some(20) for i in range(30)]
+    tokens = [Tokens.of(" ".join(x)) for x in texts]
+    on, least = [np.zeros(max(len(x) - 45, 0), bool) for x in tokens], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            good, also = match(tokens[i], tokens[j], 46, 0.8)
+            if good.any():
+                on[i] |= good
+                on[j] |= also
+                a, b = sorted((least[i], least[j]))
+                least = [a if c == b else c for c in least]
+    want = set()
+    for i, starts in enumerate(on):
+        spans = []
+        for a, n in _runs(starts):
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = a + n + 49
+            else:
+                spans.append([a, a + n + 49])
+        want |= {(i, a, b, least[i]) for a, b in spans}
+    assert len(want) > 150
+    docs = table(spark, [" ".join(x) for x in texts])
+    assert {tuple(r)[:4] for r in repeated_passages(docs).collect()} == want
+    assert {tuple(r)[:4] for r in repeated_passages(docs, rounds=0, limit=5).collect()} == want
