@@ -13,17 +13,15 @@ one window whose least token it shares, so a window stands for all its passages
    Past 512 buckets they are dealt in levels of 512, so that a chunk is never split into ever smaller parts.
 3. Pairs of a star are verified on their tokens, in stretches a passage wider than what they share on both sides: two
    passages match at a Jaccard similarity of `similarity` or more.
-4. Cells that matched nowhere form finer stars among themselves: where three or all four signatures of a start are open, they
-   make the next key, which sets unlike passages of one key apart. `rounds` such rounds, or until one settles no cell.
-5. An exact path for verbatim passages: a start that shares all four signatures with another document and is in no
-   matched stretch has its run of t tokens hashed (128 bits), and equal runs are linked to their first one.
-
-No step pairs all documents of a key. What that leaves: two near, not verbatim, passages that fail against the first
-documents of all their keys in all rounds, or of which only one does, are not compared with each other. Verbatim ones are
-always found.
-
-Two passages at exactly 0.8 share two or more of four signatures with probability 0.973, at 0.9 with 0.996; verbatim ones always
-share all. Longer passages have more windows, so more chances.
+4. An exact join finds what the stars leave. The same exchange counts the documents of every token. Similar passages share
+   `need` tokens, so a passage with fewer tokens that other documents have has no partner, and of others the first few tokens
+   in one common order, the rare ones first, are keys: two similar passages share one. Passages without a match are compared
+   with one document of each key (`rounds` times), then with all that have a key, as are documents of two components, unless
+   slack or bitmaps of tokens rule the bound out. Keys of more than `limit` rows are dealt in parts.
+
+So every passage that has a similar one in another document is in a stretch, and documents that similar passages connect have
+one class. Pairs of matched passages inside a class may be left out: n_links counts the links found, at most all there are.
+A key's pairs are all looked at where a passage stays without a match, which grows with the square of such a key.
 
 Result: a row for each maximal matched stretch of each document, with the document's class (smallest id reachable by links)
 and its number of links found. Documents without repeated passages have no row.
