@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,20 @@ def tidy(run, *own: str):
     return outer
 
 
+#: Least seconds between two sweeps.
+SWEEP = 4.0
+_SWEPT = [0.0]
+
+
+def sweep(spark: SparkSession, every: float = SWEEP) -> None:
+    """Collects the driver's garbage: only then are shuffle files, broadcasts and records of cut lineage given back."""
+    if time.monotonic() - _SWEPT[0] >= every:
+        gc.collect()
+        release(*CACHES)
+        spark.sparkContext._jvm.System.gc()
+        _SWEPT[0] = time.monotonic()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -80,6 +96,7 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        sweep(self.spark)
         return out
 
     def drop(self, df: DataFrame | None) -> None:

@@ -883,3 +883,38 @@ def test_every_similar_passage_is_found(spark):
     docs = table(spark, [" ".join(x) for x in texts])
     assert {tuple(r)[:4] for r in repeated_passages(docs).collect()} == want
     assert {tuple(r)[:4] for r in repeated_passages(docs, rounds=0, limit=5).collect()} == want
+
+
+def _reached(edges):
+    """Brute force: the smallest vertex that each vertex reaches."""
+    least = {x: x for e in edges for x in e}
+    while True:
+        after = dict(least)
+        for a, b in edges:
+            after[a] = after[b] = min(after[a], after[b])
+        if after == least:
+            return least
+        least = after
+
+
+def test_components_of_small_graphs_take_few_jobs(spark):
+    from gaugeworks.llm.common import Scratch
+    from gaugeworks.llm.components import components
+
+    rng = random.Random(9)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(rng.randrange(-500, 500) * 10**15, rng.randrange(-500, 500) * 10**15) for _ in range(400)]
+    edges = [e for e in edges if e[0] != e[1]]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    jobs = {}
+    for small in (0, 1000):
+        spark.sparkContext.setJobGroup(f"components {small}", "")
+        found = components(frame, Scratch(spark), small)
+        jobs[small] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {small}"))
+        spark.sparkContext.setJobGroup("", "")
+        assert {r["node"]: r["component"] for r in found.collect()} == _reached(edges)
+    assert jobs[1000] <= 8 < jobs[0]
+    # Small graphs are solved at once unless asked otherwise.
+    spark.sparkContext.setJobGroup("components", "")
+    components(frame, Scratch(spark))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 8
+    spark.sparkContext.setJobGroup("", "")
