@@ -13,7 +13,7 @@ one window whose least token it shares, so a window stands for all its passages
    Past 512 buckets they are dealt in levels of 512, so that a chunk is never split into ever smaller parts.
 3. Pairs of a star are verified on their tokens, in stretches a passage wider than what they share on both sides: two
    passages match at a Jaccard similarity of `similarity` or more.
-4. An exact join finds what the stars leave. The same exchange counts the documents of every token. Similar passages share
+4. An exact join finds what the stars leave. The same exchange counts the documents of every token, known by 48 bits. Similar passages share
    `need` tokens, so a passage with fewer tokens that other documents have has no partner, and of others the first few tokens
    in one common order, the rare ones first, are keys: two similar passages share one. Passages without a match are compared
    with one document of each key (`rounds` times), then with all that have a key, as are documents of two components, unless
@@ -51,6 +51,8 @@ K = np.uint64(0x9E3779B97F4A7C15)
 #: Text bytes a bucket of the exchange, and tokens a chunk: what a Python worker holds at once.
 BUCKET = 2_000_000
 CHUNK = 1 << 20
+#: Bits of a token's hash that the exchange leaves out, as most of what it moves are these hashes: 48 are left.
+TRIM = np.uint64(16)
 #: Most parts that a chunk is split into at once; more buckets than that take another exchange.
 FAN = 512
 
@@ -189,8 +191,10 @@ MEMBER = "kind int, key long, doc long, a int, b int, other long, ha int, hb int
 
 
 def _pack(*cols: np.ndarray) -> bytes:
-    """Columns of longs, the first as it is, others as byte planes of their differences, as many as the largest needs."""
-    out = [np.ascontiguousarray(cols[0], "<i8").tobytes()]
+    """Columns of longs, the first as it is, in as many bytes as the largest needs, others as byte planes of their differences."""
+    first = np.ascontiguousarray(cols[0], "<i8")
+    width = 8 if not len(first) or first.min() < 0 else max(1, (int(first.max()).bit_length() + 7) // 8)
+    out = [first.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()]
     for c in cols[1:]:
         d = np.diff(c.astype("<i8"), prepend=0)
         z = ((d << 1) ^ (d >> 63)).astype("<u8")
@@ -204,7 +208,10 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     k = blob[0]
     n, *sizes = np.frombuffer(blob, "<u4", k + 1, 1).tolist()
     at = 1 + 4 * (k + 1)
-    out = [np.frombuffer(blob, "<i8", n, at)]
+    first = np.zeros((n, 8), np.uint8)
+    if n:
+        first[:, : sizes[0] // n] = np.frombuffer(blob, np.uint8, sizes[0], at).reshape(n, -1)
+    out = [first.view("<i8").ravel()]
     at += sizes[0]
     for size in sizes[1:]:
         z = np.zeros((n, 8), np.uint8)
@@ -249,7 +256,7 @@ def _cell_blobs(t: int, buckets: int, width: int = 1, share: int = CHUNK):
         first = np.flatnonzero(fresh)
         yield from _by_bucket(buckets, width, TEXTS, h[first, 0].view(np.int64), doc[first], size[first], h[first, 1].view(np.int64))
         x, n = np.concatenate([held[i][1] for i in first]), size[first]
-        yield from _by_bucket(buckets, width, TOKENS, x.view(np.int64), np.repeat(doc[first], n), np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n), np.repeat(n, n), slack(x, n, t))
+        yield from _by_bucket(buckets, width, TOKENS, (x >> TRIM).view(np.int64), np.repeat(doc[first], n), np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n), np.repeat(n, n), slack(x, n, t))
         key, text, a, b = cells_of(x, n, t)
         key, own = key.view(np.int64), doc[first][text]
         order = np.argsort(key)

@@ -918,3 +918,22 @@ def test_components_of_small_graphs_take_few_jobs(spark):
     components(frame, Scratch(spark))
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 8
     spark.sparkContext.setJobGroup("", "")
+
+
+def test_exchange_packs_tokens_in_few_bytes():
+    import pandas as pd
+
+    from gaugeworks.llm import passages as P
+
+    rng = np.random.default_rng(4)
+    for first in ([], [0], [-1, 5], [2**48 - 1, 0, 7], [-(2**63), 2**63 - 1], [255, 256]):
+        cols = [np.array(first, np.int64), rng.integers(-(2**40), 2**40, len(first))]
+        assert all((a == b).all() for a, b in zip(P._unpack(P._pack(*cols)), cols))
+    random_ = random.Random(4)
+    batch = pd.DataFrame({"doc": range(300), "_text": [sentence(random_, 400) for _ in range(300)]})
+    made = pd.concat(P._cell_blobs(46, 8)(iter([batch])))
+    blobs = [P._unpack(b) for b in made["cols"][made["kind"] == P.TOKENS]]
+    tokens = sum(len(b[0]) for b in blobs)
+    assert tokens == 300 * 396 and sorted(zip(*(np.concatenate(c).tolist() for c in list(zip(*blobs))[1:3]))) == [(d, k) for d in range(300) for k in range(396)]
+    # Keys alone took 8 bytes.
+    assert sum(map(len, made["cols"][made["kind"] == P.TOKENS])) < 8 * tokens
