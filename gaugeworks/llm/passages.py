@@ -4,6 +4,8 @@ Tokens are hashed five-word shingles; a passage is `words` words, that is t = wo
 functions a text is cut into compact windows: by the Cartesian tree over its tokens' hashes, every passage belongs to the
 one window whose least token it shares, so a window stands for all its passages and their common signature.
 
+0. What can't have a partner stays out: one exchange of 34 bits or so of each token, once a chunk, tells the places whose
+   token another document has; a passage goes on if all but few of its places recur, and only such documents' rows are read again.
 1. Interval join inside each document, where its text is: the windows of two functions overlap in a cell, a range of passage
    starts, whose two signatures make a key (all six pairs of functions). Cells of a chunk of documents that share a key
    form a star around the chunk's first document of that key; only that one's cells leave the chunk. So no key, however
@@ -34,7 +36,7 @@ are ignored; ids are cast to long.
 from __future__ import annotations
 
 import zlib
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -187,6 +189,8 @@ def cells_of(tokens: np.ndarray, sizes: np.ndarray, t: int):
 # Rows of the exchange are columns of numbers, packed: kinds 0 cells, 2 texts and 4 tokens meet in their bucket, 1 and 3 are
 # stars of a chunk that only pass through (member cells and copies).
 CELLS, MEMBERS, TEXTS, COPIES, TOKENS = range(5)
+#: Rows that a chunk sends to itself before that: its documents, places of tokens that two of them have, and of a document's repeats.
+DOCS, KNOWN, AGAIN = range(5, 8)
 MEMBER = "kind int, key long, doc long, a int, b int, other long, ha int, hb int"
 
 
@@ -239,10 +243,10 @@ def _star(key: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray):
 
 def _cell_blobs(t: int, buckets: int, width: int = 1, share: int = CHUNK):
     def chunk(held, salt):
-        doc = np.array([d for d, _ in held], np.int64)
-        size = np.array([len(x) for _, x in held])
+        doc = np.array([d for d, *_ in held], np.int64)
+        size = np.array([len(x) for _, x, *_ in held])
         # Equal texts: only the chunk's first one's cells go on.
-        h = np.array([_text_hash(x) for _, x in held], np.uint64).reshape(-1, 2)
+        h = np.array([_text_hash(x) for _, x, *_ in held], np.uint64).reshape(-1, 2)
         order = np.lexsort((doc, h[:, 1], h[:, 0]))
         same = np.append(False, (h[order][1:] == h[order][:-1]).all(1))
         head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
@@ -256,8 +260,14 @@ def _cell_blobs(t: int, buckets: int, width: int = 1, share: int = CHUNK):
         first = np.flatnonzero(fresh)
         yield from _by_bucket(buckets, width, TEXTS, h[first, 0].view(np.int64), doc[first], size[first], h[first, 1].view(np.int64))
         x, n = np.concatenate([held[i][1] for i in first]), size[first]
-        yield from _by_bucket(buckets, width, TOKENS, (x >> TRIM).view(np.int64), np.repeat(doc[first], n), np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n), np.repeat(n, n), slack(x, n, t))
+        on, live = (np.concatenate([held[i][c] for i in first]) for c in (2, 3))
+        some = [(x >> TRIM).view(np.int64), np.repeat(doc[first], n), np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n), np.repeat(n, n), slack(x, n, t)]
+        yield from _by_bucket(buckets, width, TOKENS, *(c[on] for c in some))
         key, text, a, b = cells_of(x, n, t)
+        # Only cells of a passage that may have a similar one.
+        base, before = np.cumsum(n - t + 1) - (n - t + 1), np.append(0, np.cumsum(live))
+        some = before[base[text] + b + 1] > before[base[text] + a]
+        key, text, a, b = key[some], text[some], a[some], b[some]
         key, own = key.view(np.int64), doc[first][text]
         order = np.argsort(key)
         # Most keys are alone: stars are made of the others.
@@ -279,9 +289,10 @@ def _cell_blobs(t: int, buckets: int, width: int = 1, share: int = CHUNK):
         frame = lambda held, salt: pd.DataFrame(list(chunk(held, salt)), columns=["bucket", "kind", "cols"])
         held, size = [], 0
         for batch in batches:
-            for doc, x in zip(batch["doc"], Tokens.many(batch["_text"])):
+            bits = zip(batch["on"], batch["live"]) if "on" in batch else repeat((None, None))
+            for doc, x, some in zip(batch["doc"], Tokens.many(batch["_text"]), bits):
                 if len(x) >= t:
-                    held.append((doc, x))
+                    held.append((doc, x, *(np.ones(n, bool) if b is None else np.unpackbits(np.frombuffer(b, np.uint8), count=n).view(bool) for b, n in zip(some, (len(x), len(x) - t + 1)))))
                     size += len(x)
                 if size >= share:
                     yield frame(held, zlib.crc32(b"%d" % held[0][0]))
@@ -337,21 +348,21 @@ def _widths(buckets: int, fan: int) -> list[int]:
     return out[::-1]
 
 
-def _refine(buckets: int, width: int, fan: int, share: int = CHUNK):
+def _refine(buckets: int, width: int, fan: int, share: int = CHUNK, deal=_by_bucket):
     """Packed rows by groups of width x fan buckets, sorted by group -> by groups of width."""
 
     def split(held):
         for kind in (CELLS, TEXTS, TOKENS):
             some = [cols for k, cols in held if k == kind]
             if some:
-                yield from _by_bucket(buckets, width, kind, *(np.concatenate(x) for x in zip(*some)))
+                yield from deal(buckets, width, kind, *(np.concatenate(x) for x in zip(*some)))
 
     def run(batches):
         frame = lambda rows: pd.DataFrame(rows, columns=["bucket", "kind", "cols"])
         group, held, size = None, [], 0
         for batch in batches:
             for at, kind, blob in zip(batch["bucket"], batch["kind"], batch["cols"]):
-                if kind in (MEMBERS, COPIES):
+                if kind not in (CELLS, TEXTS, TOKENS):
                     yield frame([(at * fan + zlib.crc32(blob) % fan, kind, blob)])
                     continue
                 if held and (at != group or size >= share):
@@ -366,6 +377,176 @@ def _refine(buckets: int, width: int, fan: int, share: int = CHUNK):
     return run
 
 
+# ---- documents that may have a similar passage in another one ----
+
+
+def _by_range(bits: int):
+    def deal(buckets: int, width: int, kind: int, place: np.ndarray, key: np.ndarray, chunk: np.ndarray):
+        """As _by_bucket, with a range of keys of so many bits a bucket: differences of sorted ones are small."""
+        bucket = (key * buckets >> bits) // width
+        if buckets < 1 << 16:
+            bucket = bucket.astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            if len(rows):
+                yield int(bucket[rows[0]]), kind, _pack(place[rows], key[rows], chunk[rows])
+
+    return deal
+
+
+def _key_blobs(t: int, buckets: int, width: int, bits: int, share: int = CHUNK):
+    """(doc, _text, text) -> a chunk's tokens, each once, by `bits` bits of its hash, and what only the chunk's own rows need.
+
+    A token of one document has its first place (from 1); one of two or more is known to recur: it has place 0.
+    """
+
+    def chunk(held):
+        doc, text = (np.array([h[c] for h in held], np.int64) for c in (0, 1))
+        size = np.array([len(x) for _, _, x in held])
+        key = (np.concatenate([x for _, _, x in held]) >> np.uint64(64 - bits)).view(np.int64)
+        name = _text_hash(np.concatenate([doc, text, size]))[0] >> 1
+        own = np.repeat(np.arange(len(doc)), size)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+        edge, g = np.flatnonzero(new), np.cumsum(new) - 1
+        many = own[order[edge]] != own[order[np.append(edge[1:], len(key)) - 1]]
+        back = ~new & ~many[g]
+        known, again = order[many[g]], np.stack([order[back], order[edge][g[back]]])
+        known.sort()
+        again = again[:, np.argsort(again[0])]
+        for kind, cols in ((DOCS, (doc, text, size)), (KNOWN, (known,)), (AGAIN, again)):
+            blob = name.to_bytes(8, "little") + _pack(np.zeros(len(cols[0]), np.int64), *cols)
+            yield name % buckets // width, kind, blob
+        yield from _by_range(bits)(buckets, width, TOKENS, np.where(many, 0, order[edge] + 1), key[edge], np.full(len(edge), name))
+
+    def run(batches):
+        frame = lambda held: pd.DataFrame(list(chunk(held)), columns=["bucket", "kind", "cols"])
+        held, size = [], 0
+        for batch in batches:
+            for doc, text, x in zip(batch["doc"], batch["text"], Tokens.many(batch["_text"])):
+                if len(x) >= t:
+                    held.append((doc, text, x))
+                    size += len(x)
+                if size >= share:
+                    yield frame(held)
+                    held, size = [], 0
+        if held:
+            yield frame(held)
+
+    return run
+
+
+PLACES = "chunk long, kind int, cols binary"
+
+
+def _recurring(share: int = CHUNK):
+    """Tokens by bucket -> places, by chunk, of those that another chunk has too."""
+
+    def solve(held):
+        place, key, chunk = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key)
+        again = np.append(key[order][1:] == key[order][:-1], False)
+        again[1:] |= again[:-1]
+        order = order[again]
+        order = order[place[order] > 0]
+        return chunk[order], place[order] - 1
+
+    def send(found):
+        chunk, place = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((place, chunk))
+        chunk, place = chunk[order], place[order]
+        for rows in np.split(np.arange(len(chunk)), np.flatnonzero(np.diff(chunk)) + 1):
+            if len(rows):
+                yield int(chunk[rows[0]]), KNOWN, _pack(np.zeros(len(rows), np.int64), place[rows])
+
+    def run(batches):
+        frame = lambda rows: pd.DataFrame(rows, columns=["chunk", "kind", "cols"])
+        bucket, held, found, size = None, [], [], 0
+        for batch in batches:
+            for at, kind, blob in zip(batch["bucket"], batch["kind"], batch["cols"]):
+                if kind != TOKENS:
+                    yield frame([(int.from_bytes(blob[:8], "little"), kind, bytes(blob[8:]))])
+                    continue
+                if held and at != bucket:
+                    found.append(solve(held))
+                    held, size = [], size + len(found[-1][0])
+                    if size >= share:
+                        yield frame(list(send(found)))
+                        found, size = [], 0
+                bucket = at
+                held.append(_unpack(bytes(blob)))
+        if held:
+            found.append(solve(held))
+        if found:
+            yield frame(list(send(found)))
+
+    return run
+
+
+LIVE = "doc long, text long, on binary, live binary"
+
+
+def _live(t: int, similarity: float):
+    """Rows of chunks, sorted by chunk -> documents with a passage that may have a similar one: bits of its recurring tokens and of such passages' starts.
+
+    Of the distinct tokens of such a passage at most t - full are in no other document, so at least `full` places recur or repeat.
+    """
+    full = int(np.ceil(similarity * t - 1e-9))
+
+    def chunk(held):
+        doc, text, size = next(cols for kind, cols in held if kind == DOCS)
+        on = np.zeros(int(size.sum()), bool)
+        for kind, cols in held:
+            if kind == KNOWN:
+                on[cols[0]] = True
+        place, first = next(cols for kind, cols in held if kind == AGAIN)
+        on[place] = on[first]
+        fit = on.copy()
+        fit[place] = True
+        before = np.append(0, np.cumsum(fit))
+        for d, h, stop, n in zip(doc.tolist(), text.tolist(), np.cumsum(size).tolist(), size.tolist()):
+            s = stop - n
+            live = before[s + t : stop + 1] - before[s : stop - t + 1] >= full
+            if live.any():
+                near = np.cumsum(np.bincount(np.flatnonzero(live), minlength=n + 1) - np.bincount(np.flatnonzero(live) + t, minlength=n + 1))[:n] > 0
+                yield d, h, np.packbits(on[s:stop] & near).tobytes(), np.packbits(live).tobytes()
+
+    def run(batches):
+        frame = lambda held: pd.DataFrame(list(chunk(held)), columns=["doc", "text", "on", "live"]).astype({"doc": "int64", "text": "int64"})
+        name, held = None, []
+        for batch in batches:
+            for at, kind, blob in zip(batch["chunk"], batch["kind"], batch["cols"]):
+                if held and at != name:
+                    yield frame(held)
+                    held = []
+                name = at
+                held.append((kind, _unpack(bytes(blob))[1:]))
+        if held:
+            yield frame(held)
+
+    return run
+
+
+def candidates(rows: DataFrame, t: int, similarity: float, scratch: Scratch, bucket: int, fan: int) -> DataFrame:
+    """The rows (doc, _text) that may have a similar passage in another one, with bits as in _live.
+
+    What two chunks share is known from a part of each token's hash, which is in the exchange once a chunk: tokens that only
+    seem to recur, about one in 500, keep some rows more and lose none.
+    """
+    size = rows.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
+    buckets, bits = 1 + size // (4 * bucket), min(44, (size // 4).bit_length() + 8)
+    widths = _widths(buckets, fan)
+    dealt = lambda blobs: blobs.repartition("bucket").sortWithinPartitions("bucket")
+    named = rows.withColumn("text", F.xxhash64("_text"))
+    blobs = named.mapInPandas(_key_blobs(t, buckets, widths[0], bits), BLOB)
+    for width in widths[1:]:
+        blobs = dealt(blobs).mapInPandas(_refine(buckets, width, fan, deal=_by_range(bits)), BLOB)
+    places = dealt(blobs).mapInPandas(_recurring(), PLACES)
+    live = scratch.keep(places.repartition("chunk").sortWithinPartitions("chunk").mapInPandas(_live(t, similarity), LIVE), "live")
+    return scratch.keep(named.join(live.dropDuplicates(["doc", "text"]), ["doc", "text"]).drop("text"), "candidates")
+
+
 def _meet(batches):
     """Packed rows, sorted by bucket -> members (kind 0: cells of keys that other documents have too), copies (kind 1) and recurring tokens (kind 2).
 
@@ -877,11 +1058,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(docs.sparkSession)
     t = words - SHINGLE + 1
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), whole(text_col).alias("_text"))
+    some = candidates(rows, t, similarity, scratch, bucket, fan)
+    rows = some.select("doc", "_text")
     size = rows.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
     buckets = 1 + size // bucket
     widths = _widths(buckets, fan)
     dealt = lambda blobs: blobs.repartition("bucket").sortWithinPartitions("bucket")
-    blobs = rows.mapInPandas(_cell_blobs(t, buckets, widths[0]), BLOB)
+    blobs = some.mapInPandas(_cell_blobs(t, buckets, widths[0]), BLOB)
     for width in widths[1:]:
         blobs = dealt(blobs).mapInPandas(_refine(buckets, width, fan), BLOB)
     met = scratch.keep(dealt(blobs).mapInPandas(_meet, MEMBER), "met")

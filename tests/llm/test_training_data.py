@@ -937,3 +937,29 @@ def test_exchange_packs_tokens_in_few_bytes():
     assert tokens == 300 * 396 and sorted(zip(*(np.concatenate(c).tolist() for c in list(zip(*blobs))[1:3]))) == [(d, k) for d in range(300) for k in range(396)]
     # Keys alone took 8 bytes.
     assert sum(map(len, made["cols"][made["kind"] == P.TOKENS])) < 8 * tokens
+
+
+def test_only_candidates_are_exchanged(spark, tmp_path):
+    """Documents that share too few of a passage's tokens with others stay out of the exchange of cells and tokens, in few bytes."""
+    import pandas as pd
+
+    from gaugeworks.llm import passages as P
+    from gaugeworks.llm.common import Scratch
+
+    rng = random.Random(11)
+    some = lambda n: " ".join(rng.choices([f"w{i}" for i in range(3000)], k=n))
+    one, line = some(60), some(12)
+    edited = " ".join(w if i != 30 else "other" for i, w in enumerate(one.split()))
+    texts = [some(300) for _ in range(40)]
+    texts += [some(90) + " " + one + " " + some(70), some(20) + " " + edited, f"{some(40)} {(line + ' ') * 6}", f"{(line + ' ') * 5} {some(80)}"]
+    texts += [some(100) + " " + " ".join(one.split()[:30]) + " " + some(100), "short", None]
+    rows = table(spark, texts).selectExpr("doc_id AS doc", "coalesce(text, '') AS _text")
+    for bucket, fan in ((P.BUCKET, P.FAN), (500, 3)):
+        got = P.candidates(rows.repartition(3), 46, 0.8, Scratch(spark), bucket, fan).collect()
+        assert sorted(r["doc"] for r in got) == [40, 41, 42, 43]
+        on = {r["doc"]: np.unpackbits(np.frombuffer(r["on"], np.uint8)).sum() for r in got}
+        assert on[40] == on[41] == 51  # all of the passage's 56 shingles but the five over the edited word
+    batch = pd.DataFrame({"doc": range(300), "text": range(300), "_text": [some(400) for _ in range(300)]})
+    made = pd.concat(P._key_blobs(46, 8, 1, 34)(iter([batch])))
+    # Tokens with their places took up to 8 bytes and more.
+    assert sum(map(len, made["cols"])) < 6 * 300 * 396
