@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 
@@ -62,12 +63,13 @@ class ChunkTokenizer:
     """Ids of whole texts, as little-endian 32-bit words, from a memo of space-separated chunks.
 
     The tokenizer drops white space and never joins tokens across it, so a text's ids are its chunks' ids in order.
-    Chunks are cut by the pre-tokenizer - printable ASCII ones by its own pattern - and their parts go to the BPE model;
-    chunks that may hold a special token's string go through the whole tokenizer.
+    Chunks are cut by the pre-tokenizer - those of printable ASCII and Latin letters by its own pattern - and their parts go
+    to the BPE model; chunks that may hold a special token's string go through the whole tokenizer.
     """
 
-    # Fixed value: the pre-tokenizer's pattern for ASCII text, lower-cased.
-    PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    # Fixed value: the pre-tokenizer's pattern for ASCII text, lower-cased; other letters are put in for {0}.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z{0}]+|[0-9]|[^\sa-z0-9{0}]+"
+    PART = re.compile(PATTERN.format(""))
 
     def __init__(self, path: str, room: int = 400_000):
         from tokenizers import Tokenizer
@@ -75,9 +77,22 @@ class ChunkTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model, self.normal, self.cut = self.whole.model, self.whole.normalizer, self.whole.pre_tokenizer
         self.chunks, self.parts = _Memo(self._chunk, room), _Memo(self._part, room)
+        letters = [c for c in map(chr, range(0x80, 0x250)) if self._plain(c)]
+        small = sorted({c.lower() for c in letters})
+        self.latin, self.part = re.compile(f"[!-~{''.join(letters)}]+").fullmatch, re.compile(self.PATTERN.format("".join(small)))
+        self.coded = {ord(c): self._cut(c)[0] for c in small}
+
+    def _cut(self, text: str) -> list[str]:
+        return [p for p, _ in self.cut.pre_tokenize_str(text)]
+
+    def _plain(self, c: str) -> bool:
+        """Whether c is a letter that the tokenizer lower-cases as Python does and codes by itself."""
+        low = c.lower()
+        return len(low) == 1 and self.normal.normalize_str(f"a{c}a") == f"a{low}a" and self._cut(f"a{low}a") == [f"a{self._cut(low)[0]}a"]
 
     def _part(self, part: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
         if "<|" in chunk:
@@ -85,6 +100,8 @@ class ChunkTokenizer:
         if chunk.isascii() and chunk.isprintable():
             low = chunk.lower()
             return self.parts[low] if low.isalpha() else b"".join(map(self.parts.__getitem__, self.PART.findall(low)))
+        if self.latin(chunk):
+            return b"".join([self.parts[p.translate(self.coded)] for p in self.part.findall(chunk.lower())])
         return b"".join(self.parts[p] for p, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(chunk)))
 
     def ids(self, text: str) -> bytes:

@@ -963,3 +963,16 @@ def test_only_candidates_are_exchanged(spark, tmp_path):
     made = pd.concat(P._key_blobs(46, 8, 1, 34)(iter([batch])))
     # Tokens with their places took up to 8 bytes and more.
     assert sum(map(len, made["cols"])) < 6 * 300 * 396
+
+
+def test_latin_words_need_no_pre_tokenizer():
+    """Words of accented Latin letters are cut by the tokenizer's pattern alone, with the whole tokenizer's ids; others still go through it."""
+    from gaugeworks.llm.packing import ChunkTokenizer, default_tokenizer
+
+    tok, rng = ChunkTokenizer(default_tokenizer()), random.Random(1)
+    same = lambda text: np.frombuffer(tok.ids(text), "<u4").tolist() == tok.whole.encode(text, add_special_tokens=False).ids
+    letters = "abzAZ09'-.,!sStTlLdDmM̈ΣİıßªºµḾ" + "".join(map(chr, range(0xA1, 0x250)))
+    assert all(same("".join(rng.choices(letters, k=rng.randint(1, 9)))) for _ in range(5000))
+    assert same("It’s À̧ café's ΟΣ İı <|endoftext|>é")
+    tok.cut = tok.normal = None
+    assert all(map(same, ("Straße", "ÉTÉ'S,", "l'été2024!", "Łódź")))
