@@ -752,20 +752,25 @@ def _verify(t: int, similarity: float):
     return run
 
 
-def _by_document(batches):
-    """Hands on all rows of one or more whole documents at a time; input is sorted by doc."""
-    held = None
+def _by_document(batches, share: int = 1 << 16):
+    """Hands on all rows of one or more whole documents at a time, about `share` rows; input is sorted by doc."""
+    held, size = [], 0
     for b in batches:
         if not len(b):
             continue
-        b = b if held is None else pd.concat([held, b], ignore_index=True)
+        held.append(b)
+        size += len(b)
+        if size < share:
+            continue
+        b = pd.concat(held, ignore_index=True)
         doc = b["doc"].to_numpy()
         cut = int(np.searchsorted(doc, doc[-1]))
-        held = b.iloc[cut:]
+        # A document of more rows is gathered until it has twice as many, not again with each batch.
+        held, size = [b.iloc[cut:]], 0 if cut else -len(b)
         if cut:
             yield b.iloc[:cut]
-    if held is not None:
-        yield held
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 PAIR = "doc long, other long, a int, b int, ha int, hb int"
@@ -866,7 +871,7 @@ def _prefixes(t: int, similarity: float):
             if lack.any():
                 # A partner of slack k has at least `need` tokens that occur with this slack.
                 slacks = np.where(w < big, view(lack, t)[s], 0)
-                for k in range(1, int(slacks.max(initial=0)) + 1):
+                for k in np.unique(slacks[slacks > 0]).tolist():
                     asked = np.maximum(floor, np.ceil(part * (d + t - k) - 1e-9).astype(np.int64))
                     need = np.where((slacks >= k).sum(1) >= asked, np.minimum(need, asked), need)
             some = have >= need
@@ -884,10 +889,10 @@ def _prefixes(t: int, similarity: float):
         p, s, own, least = p[by], s[by], own[by], least[by]
         # Starts without a match are rows of their own.
         edge = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (on[s[1:]] != on[s[:-1]]) | (~on[s[1:]] & (np.diff(s) > 1))))
-        return pd.DataFrame({
-            "doc": doc, "key": code[place[p[edge]]], "a": s[edge], "b": s[np.append(edge[1:], len(s)) - 1], "lack": np.maximum.reduceat(own, edge),
-            "least": np.minimum.reduceat(least, edge), "open": np.minimum.reduceat(np.where(on[s], NEVER, least), edge),
-        })
+        return (
+            np.full(len(edge), doc), code[place[p[edge]]], s[edge], s[np.append(edge[1:], len(s)) - 1], np.maximum.reduceat(own, edge),
+            np.minimum.reduceat(least, edge), np.minimum.reduceat(np.where(on[s], NEVER, least), edge),
+        )
 
     def run(batches):
         for b in _by_document(batches):
@@ -910,7 +915,8 @@ def _prefixes(t: int, similarity: float):
                 out.append(keys(d, key[mine], a[mine], e[mine], x[mine, col["other"]], x[mine, col["ha"]], on))
             out = [o for o in out if o is not None]
             if out:
-                yield pd.concat(out, ignore_index=True).astype({"doc": "int64"} | {c: "int32" for c in ("a", "b", "lack", "least", "open")})
+                names = ["doc", "key", "a", "b", "lack", "least", "open"]
+                yield pd.DataFrame({c: np.concatenate(x).astype(np.int64 if c in names[:2] else np.int32) for c, x in zip(names, zip(*out))})
 
     return run
 
@@ -928,6 +934,15 @@ def _marks(t: int):
     whose tokens no other document has.
     """
 
+    def maps(bit, lo, hi):
+        out = []
+        for i in range(0, len(lo), 1 << 12):
+            at, n = lo[i : i + (1 << 12)], np.maximum(hi[i : i + (1 << 12)] - lo[i : i + (1 << 12)], 0)
+            on = np.zeros((len(n), 64 * MARK), np.uint8)
+            on[np.repeat(np.arange(len(n)), n), bit[np.arange(n.sum()) + np.repeat(at - np.cumsum(n) + n, n)]] = 1
+            out += [x.tobytes() for x in np.packbits(on, axis=1)]
+        return out
+
     def run(batches):
         for b in _by_document(batches):
             x = b.fillna(-1).to_numpy(np.int64)
@@ -936,20 +951,15 @@ def _marks(t: int):
             x = x[np.lexsort((x[:, col["a"]], row, x[:, col["doc"]]))]
             row = x[:, col["open"]] >= 0
             doc, key, a, e = (x[:, col[c]] for c in ("doc", "key", "a", "b"))
-            out, core, span, lone = np.flatnonzero(row), [], [], []
-            tok = np.flatnonzero(~row & (x[:, col["other"]] > 1))
-            at = doc[tok], a[tok]
+            out, tok = np.flatnonzero(row), np.flatnonzero(~row & (x[:, col["other"]] > 1))
+            wide = int(max(a.max(), e.max())) + t + 2
+            base = np.unique(doc, return_inverse=True)[1] * wide
             bit = (_mix(key[tok].view(np.uint64)) & np.uint64(64 * MARK - 1)).astype(np.int64)
-            lo, hi = np.searchsorted(at[0], doc[out], "left"), np.searchsorted(at[0], doc[out], "right")
-            for i, p, q in zip(out.tolist(), lo.tolist(), hi.tolist()):
-                first, c0, c1, last = p + np.searchsorted(at[1][p:q], [a[i], e[i], a[i] + t, e[i] + t])
-                for into, some in ((core, bit[c0:c1]), (span, bit[first:last])):
-                    on = np.zeros(64 * MARK, np.uint8)
-                    on[some] = 1
-                    into.append(np.packbits(on).tobytes())
-                lone.append(a[i] + t - e[i] - (c1 - c0) if c1 > c0 or a[i] + t > e[i] else 0)
+            first, c0, c1, last = (np.searchsorted(base[tok] + a[tok], base[out] + p) for p in (a[out], e[out], a[out] + t, e[out] + t))
+            core, span = maps(bit, c0, c1), maps(bit, first, last)
+            lone = np.where((c1 > c0) | (a[out] + t > e[out]), a[out] + t - e[out] - (c1 - c0), 0)
             names = ["doc", "key", "a", "b", "lack", "least", "open", "component"]
-            yield pd.DataFrame({c: x[out, col[c]] for c in names} | {"lone": np.array(lone, np.int64), "core": core, "span": span}).astype({c: "int32" for c in ("a", "b", "lack", "least", "open", "lone")})
+            yield pd.DataFrame({c: x[out, col[c]] for c in names} | {"lone": lone, "core": core, "span": span}).astype({c: "int32" for c in ("a", "b", "lack", "least", "open", "lone")})
 
     return run
 

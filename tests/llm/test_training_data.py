@@ -976,3 +976,29 @@ def test_latin_words_need_no_pre_tokenizer():
     assert same("It’s À̧ café's ΟΣ İı <|endoftext|>é")
     tok.cut = tok.normal = None
     assert all(map(same, ("Straße", "ÉTÉ'S,", "l'été2024!", "Łódź")))
+
+
+def test_documents_are_gathered_from_small_batches():
+    import pandas as pd
+
+    from gaugeworks.llm import passages as P
+
+    doc = np.repeat(np.arange(50), np.arange(50))
+    frame = pd.DataFrame({"doc": doc, "k": np.arange(len(doc))})
+    cut = lambda n: (frame.iloc[i : i + n] for i in range(0, len(frame), n))
+    assert len(list(P._by_document(cut(7)))) == 1
+    for share, n in ((1, 7), (30, 7), (100, 13), (5, 1000)):
+        made = list(P._by_document(cut(n), share))
+        assert np.array_equal(pd.concat(made)["k"], frame["k"]) and sum(m["doc"].nunique() for m in made) == 49
+    # Bitmaps of rows of starts a to b: tokens that all passages hold, and those that any does.
+    rng, t = np.random.default_rng(2), 6
+    token = pd.DataFrame({"doc": np.repeat([3, 9], 40), "a": np.tile(np.arange(40), 2), "key": rng.integers(0, 60, 80), "b": 40, "other": rng.integers(1, 4, 80)})
+    row = pd.DataFrame({"doc": [3, 3, 9, 9], "a": [0, 20, 5, 34], "b": [2, 34, 5, 34], "key": 1, "lack": 0, "least": 0, "open": 0, "component": 3})
+    made = pd.concat(P._marks(t)(iter([pd.concat([token, row]).sort_values("doc", kind="stable", ignore_index=True)])))
+    for r in made.itertuples():
+        mine = token[(token["doc"] == r.doc) & (token["other"] > 1)]
+        for blob, lo, hi in ((r.core, r.b, r.a + t), (r.span, r.a, r.b + t)):
+            held = mine["key"][(mine["a"] >= lo) & (mine["a"] < hi)].to_numpy(np.int64).view(np.uint64)
+            assert set(np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8)))) == set((P._mix(held) & np.uint64(64 * P.MARK - 1)).tolist())
+        assert r.lone == max(0, r.a + t - r.b - ((mine["a"] >= r.b) & (mine["a"] < r.a + t)).sum())
+    assert len(made) == 4
